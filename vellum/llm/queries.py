@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.neardup import group_pairs, near_duplicates
 from vellum.llm.similar import similar_pairs
+from vellum.llm.split import split_oversized
 from vellum.plans.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,5 +20,36 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(table(spark, sf, "research_chunk"), "chunk_id", "vector").select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all chunk and page texts above 700 tokens."""
+    chunk = table(spark, sf, "research_chunk").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
+    page = table(spark, sf, "page_content").select(F.lit("page").alias("item_kind"), F.col("page_id").cast("string").alias("item_id"), "text")
+    return split_oversized(chunk.unionByName(page), F.col("item_kind"), F.col("item_id"), F.col("text"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The coarsest boundary that serves for each text above 700 tokens."""
+    return p4_pieces(spark, sf).where("piece_no = 0").select("item_kind", "item_id", "boundary")
+
+
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    chunk = table(spark, sf, "research_chunk").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
+    return chunk.unionByName(table(spark, sf, "evidence_item").select(F.lit("evidence").alias("item_kind"), F.col("evidence_id").alias("item_id"), "text"))
+
+
+def _recurring(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_passages(spark, sf), F.col("item_kind"), F.col("item_id"), F.col("text"), size=3, threshold=0.6, min_words=40, bands=60, rows=5)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of records of one kind whose passages recur with small edits."""
+    return group_pairs(_recurring(spark, sf)).withColumnRenamed("kind", "item_kind")
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each record with its group and number of links."""
+    return _recurring(spark, sf).withColumnsRenamed({"kind": "item_kind", "id": "item_id"})
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
