@@ -199,9 +199,9 @@ def similar_pairs(
     copies in id order, within random blocks where copies are very many.
     Cosines are rounded to 6 places. An empty input gives no rows.
     """
-    vectors = unit_vectors(df, id_col, vec_col, dim)
-    keyed = written(vectors.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")}), "vectors")
-    ids = keyed.select("h1", "h2", "id").distinct()
+    keyed = unit_vectors(df, id_col, vec_col, dim).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
+    # the vectors themselves are read again below rather than kept twice
+    ids = written(keyed.select("h1", "h2", "id").distinct(), "vector-ids")
     w = Window.partitionBy("h1", "h2").orderBy("id")
     first = ids.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("members"))
     vector = keyed.groupBy("h1", "h2").agg(F.first("v").alias("v"))
