@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.neardup import group_pairs, near_duplicates
+from vellum.llm.scan import repaired_paragraphs, scan_faults
 from vellum.llm.similar import similar_pairs
 from vellum.llm.split import split_oversized
 from vellum.plans.shared import table
@@ -20,6 +21,21 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_pairs(table(spark, sf, "research_chunk"), "chunk_id", "vector").select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of scanned pages by line of raw_text."""
+    return scan_faults(table(spark, sf, "page_content"), F.col("raw_text"), table(spark, sf, "lexicon"))
+
+
+def p2_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Repaired paragraphs of each document, from raw_text."""
+    return repaired_paragraphs(table(spark, sf, "page_content"), F.col("raw_text"), table(spark, sf, "lexicon"))
+
+
+def p2_paragraphs_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Repaired paragraphs of each document, from the layout-cleaned text."""
+    return repaired_paragraphs(table(spark, sf, "page_content"), F.col("text"), table(spark, sf, "lexicon"))
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all chunk and page texts above 700 tokens."""
     chunk = table(spark, sf, "research_chunk").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
@@ -51,5 +67,5 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _recurring(spark, sf).withColumnsRenamed({"kind": "item_kind", "id": "item_id"})
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p2_paragraphs_text": p2_paragraphs_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups}
 SQL: dict[str, str] = {}
