@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.mixing import mix, shares
 from vellum.llm.neardup import group_pairs, near_duplicates
+from vellum.llm.packing import containers, fill_report, pack
 from vellum.llm.scan import repaired_paragraphs, scan_faults
 from vellum.llm.similar import similar_pairs
 from vellum.llm.split import split_oversized
-from vellum.plans.shared import table
+from vellum.llm.tokens import with_tokens
+from vellum.llm.truncation import length_limits, truncated, truncation_rates
+from vellum.plans.shared import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +71,60 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _recurring(spark, sf).withColumnsRenamed({"kind": "item_kind", "id": "item_id"})
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p2_paragraphs_text": p2_paragraphs_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups}
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return written(with_tokens(docs, [F.col("doc_id").alias("item_id"), F.col("source")], F.col("text")), "sizes")
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_sizes(spark, sf), "item_id", "tokens")
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers of 2,048 tokens with what they hold and their unused space."""
+    return containers(_packed(spark, sf))
+
+
+def p6_placement(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of each document, or of each piece of one above the capacity."""
+    return _packed(spark, sf).withColumnRenamed("item_id", "doc_id")
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and unused space altogether."""
+    return fill_report(_packed(spark, sf))
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents drawn to meet the target shares, with the number of the copy."""
+    return mix(_sizes(spark, sf), table(spark, sf, "mix_target")).select(F.col("item_id").alias("doc_id"), "source", "copy", "tokens")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted and actual share of each source."""
+    sizes, targets = _sizes(spark, sf), table(spark, sf, "mix_target")
+    return shares(mix(sizes, targets), sizes, targets)
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return truncated(table(spark, sf, "documents"), F.col("doc_id"), F.col("source"), F.col("text"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return _judged(spark, sf).where("truncated and item_id is not null").select(F.col("item_id").alias("doc_id")).distinct()
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source's texts are cut off."""
+    return truncation_rates(_judged(spark, sf))
+
+
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths, under several ways of counting, at which a source's texts pile up."""
+    return length_limits(table(spark, sf, "documents"), F.col("source"), F.col("text"))
+
+
+_ALL = (p1_found, p2_found, p2_paragraphs, p2_paragraphs_text, p4_found, p4_pieces, p5_found, p5_groups, p6_containers, p6_placement, p6_report, p7_shares, p7_selection, p8_found, p8_rates, p8_limits)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
