@@ -66,6 +66,9 @@ def length_limits(df: DataFrame, source: Column, text: Column, *, least: int = 3
     return (
         counts.select("source", "measure", "n", "texts", F.sum("texts").over(near).alias("close"), (around * 4 / (2 * reach - 6)).alias("expected"))
         .where((F.col("texts") >= least) & (F.col("close") >= F.col("expected") + sigmas * F.sqrt("expected") + least))
+        # of neighbouring lengths the one where most lie
+        .withColumn("most", F.max("close").over(w.rangeBetween(-3, 3)))
+        .where("close = most")
         .select("source", "measure", F.col("n").alias("limit"), F.col("close").alias("texts"), F.round("expected", 3).alias("expected"))
     )
 
