@@ -74,15 +74,14 @@ def evidence_context(evidence: DataFrame) -> DataFrame:
 def lexical_gate(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """[GAT1, JON5] ``query_id, sufficient, reason, terms, anchors, matched``.
 
-    ``questions``: ``query_id, question``; ``evidence``: ``query_id, text, section, title``.
+    ``questions``: ``query_id, question``; ``evidence``: ``query_id, text``.
     Terms of the question are looked for among the words of its evidence. It is not
     sufficient if there are anchors and none is found, or terms and none is
     found. A question without terms passes. Words are met by key, one row a word.
     """
     q = questions.select("query_id", query_terms(F.col("question")).alias("terms"))
     asked = q.select("query_id", F.posexplode("terms").alias("i", "w"))
-    text = F.concat_ws("\n", "title", "section", "text")
-    seen = evidence.select("query_id", F.explode(F.array_distinct(tokenize_words(text))).alias("w")).distinct()
+    seen = evidence.select("query_id", F.explode(F.array_distinct(tokenize_words(F.col("text")))).alias("w")).distinct()
     met = asked.join(seen, ["query_id", "w"]).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("matched"))
     x = q.join(met, "query_id", "left").withColumns({"matched": F.coalesce("matched", F.array().cast("array<string>")), "anchors": anchor_terms(F.col("terms"))})
     no_anchor = (F.size("anchors") > 0) & (F.size(F.array_intersect("anchors", "matched")) == 0)
