@@ -20,9 +20,9 @@ def layout_clean(raw: Column, boxes: Column, *, index: str = "box_index", kind:
     less than 50 characters come out of more than 200, the body is the raw text. Null text gives ''.
     """
     text = F.coalesce(raw, F.lit(""))
-    ordered = F.array_sort(F.transform(F.coalesce(boxes, F.array().cast("array<struct<i:int,k:string,s:array<int>>>")), lambda b: F.struct(b[index].alias("i"), b[kind].alias("k"), b[span].alias("s"))))
+    ordered = F.array_sort(F.transform(boxes, lambda b: F.struct(b[index].alias("i"), b[kind].alias("k"), b[span].alias("s"))))
     slices = F.filter(F.transform(ordered, lambda b: F.struct(b["k"].alias("k"), box_text(text, b["s"]).alias("t"))), lambda b: (b["t"] != "") & ~F.coalesce(b["k"], F.lit("")).isin("picture", "page-header", "page-footer"))
-    captions = F.transform(F.filter(slices, lambda b: F.coalesce(b["k"] == "caption", F.lit(False))), lambda b: b["t"])
+    captions = F.coalesce(F.transform(F.filter(slices, lambda b: F.coalesce(b["k"] == "caption", F.lit(False))), lambda b: b["t"]), F.array().cast("array<string>"))
     body = join_segments(F.transform(F.filter(slices, lambda b: F.coalesce(b["k"] != "caption", F.lit(True))), lambda b: b["t"]))
     bare = F.coalesce(F.size(boxes), F.lit(0)) <= 0
     poor = (F.length(body) < 50) & (F.length(strip(text)) > 200)
