@@ -25,7 +25,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     joined = t.join(have, "source", "left").withColumns({"available": F.coalesce("available", F.lit(0)), "records": F.coalesce("records", F.lit(0))})
     served = F.when(F.col("available") > 0, F.col("target_share")).otherwise(0.0)
     # as many rows as there are targets
-    return joined.withColumn("weight", served / F.sum(served).over(Window.partitionBy()))
+    return joined.withColumn("weight", F.coalesce(served / F.nullif(F.sum(served).over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0)))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, budget: int | None = None, seed: int = 13, block: int = BLOCK) -> DataFrame:
@@ -80,12 +80,12 @@ def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame
     """Wanted and actual share of each target source; a target without records has none."""
     plan = plan_mix(sizes, targets)
     got = chosen.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"), F.max("copy").alias("most_copies"))
-    total = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy())
+    total = F.nullif(F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy()), F.lit(0))
     return plan.join(got, "source", "left").select(
         F.col("source").alias("source_name"),
         "target_share",
         F.round("weight", 6).alias("wanted_share"),
-        F.round(F.coalesce("tokens", F.lit(0)) / total, 6).alias("actual_share"),
+        F.coalesce(F.round(F.coalesce("tokens", F.lit(0)) / total, 6), F.lit(0.0)).alias("actual_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("rows", F.lit(0)).alias("rows"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),

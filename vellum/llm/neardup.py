@@ -235,7 +235,7 @@ def near_duplicates(
         member = written(member.join(split, "big", "left_semi"), "near-large")
         blocks = 16
         x = member.select("big", F.pmod(F.xxhash64("fp"), F.lit(blocks)).alias("block"), F.col("fp").alias("a"), F.col("component").alias("ca"))
-        y = member.select("big", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.col("fp").alias("b"), F.col("component").alias("cb"))
+        y = member.select("big", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("fp").alias("b"), F.col("component").alias("cb"))
         cross = x.join(y, ["big", "block"]).where("ca <> cb and a < b").select("a", "b").distinct()
         links = written(links.unionByName(_links(cross, once, threshold, sigmas)), "near-links").dropDuplicates(["a", "b"])
     group = connected_components(links)
