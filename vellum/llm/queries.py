@@ -127,4 +127,36 @@ def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (p1_found, p2_found, p2_paragraphs, p2_paragraphs_text, p4_found, p4_pieces, p5_found, p5_groups, p6_containers, p6_placement, p6_report, p7_shares, p7_selection, p8_found, p8_rates, p8_limits)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+
+_VECTORS = """v AS (SELECT chunk_id, list_transform(vector, lambda x: x::double / sqrt(list_sum(list_transform(vector, lambda y: y::double * y::double))))::double[64] AS u
+ FROM (SELECT DISTINCT chunk_id, vector FROM research_chunk WHERE chunk_id IS NOT NULL AND len(vector) = 64)
+ WHERE len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+
+_PARTS = r"""
+long AS (SELECT item_kind, item_id, text FROM (SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id, text FROM research_chunk UNION ALL SELECT DISTINCT 'page', page_id::varchar, text FROM page_content)
+ WHERE item_id IS NOT NULL AND len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{Z}\p{L}\p{N}]')) > 700),
+pars AS (SELECT *, unnest(regexp_split_to_array(text, '\n(?:[ \t\r\f\v\p{Zs}]*\n)+')) AS par FROM long),
+ends AS (SELECT item_kind, item_id, par, regexp_replace(regexp_replace(par, '(^|[^\p{L}\p{N}])(Fig|Figs|Eq|Eqs|Ref|Refs|al|cf|vs|ca|approx)\.', '\1\2' || chr(1), 'g'), '([.!?])([\s\p{Z}]+[A-Z])', '\1' || chr(2) || '\2', 'g') AS p FROM pars),
+sents AS (SELECT item_kind, item_id, unnest(string_split(p, chr(2))) AS sent FROM ends),
+runs AS (SELECT item_kind, item_id, unnest(regexp_split_to_array(text, '[\s\p{Z}]+')) AS run FROM long),
+most AS (SELECT item_kind, item_id, max(len(regexp_extract_all(par, '[\p{L}\p{N}]+|[^\s\p{Z}\p{L}\p{N}]'))) AS par FROM pars GROUP BY ALL),
+most_s AS (SELECT item_kind, item_id, max(len(regexp_extract_all(sent, '[\p{L}\p{N}]+|[^\s\p{Z}\p{L}\p{N}]'))) AS sent FROM sents GROUP BY ALL),
+most_r AS (SELECT item_kind, item_id, max(len(regexp_extract_all(run, '[\p{L}\p{N}]+|[^\s\p{Z}\p{L}\p{N}]'))) AS run FROM runs GROUP BY ALL)
+"""
+
+_GROUPS = r"""
+texts AS (SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS id, text FROM research_chunk WHERE chunk_id IS NOT NULL UNION ALL SELECT DISTINCT 'evidence', evidence_id, text FROM evidence_item WHERE evidence_id IS NOT NULL),
+words AS (SELECT item_kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
+runs AS (SELECT DISTINCT item_kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words WHERE len(w) >= 40),
+sizes AS (SELECT item_kind, id, count(*) AS n FROM runs GROUP BY ALL),
+common AS (SELECT a.item_kind, a.id AS a, b.id AS b, count(*) AS c FROM runs a JOIN runs b USING (item_kind, run) WHERE a.id <> b.id GROUP BY ALL),
+edges AS (SELECT item_kind, a, b FROM common c JOIN sizes x ON x.item_kind = c.item_kind AND x.id = a JOIN sizes y ON y.item_kind = c.item_kind AND y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT * FROM edges UNION SELECT r.item_kind, r.a, e.b FROM reach r JOIN edges e ON e.item_kind = r.item_kind AND e.a = r.b)
+"""
+
+# The rest can't be said in SQL: edit distances over a trie, a public tokenizer, placing one item after another.
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_VECTORS}, near AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY array_inner_product(a.u, b.u) DESC, b.chunk_id) <= 5) SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM near",
+    "p4_found": f"WITH {_PARTS} SELECT item_kind, item_id, CASE WHEN par <= 700 THEN 'paragraph' WHEN sent <= 700 THEN 'sentence' WHEN run <= 700 THEN 'word' ELSE 'none' END AS boundary FROM most JOIN most_s USING (item_kind, item_id) JOIN most_r USING (item_kind, item_id)",
+    "p5_found": f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT item_kind, a AS id_a, b AS id_b FROM reach WHERE a < b",
+}

@@ -175,8 +175,8 @@ def nearest(classes: DataFrame, dim: int, k: int, trees: int, leaf: int, probes:
         .sortWithinPartitions("leaf")
         .mapInArrow(_in_leaves(dim, k, block), "c long, near array<long>, cos array<float>")
     )
-    # at most `probes` rows a class meet here; float rounding differs between blocks, so copies go by id
-    pair = F.flatten(F.collect_list(F.transform(F.arrays_zip("near", "cos"), lambda s: F.struct(s["near"].alias("near"), F.round(s["cos"].cast("double"), 6).alias("cos")))))
+    # at most `probes` rows a class meet here; rounding differs between leaves, so repeats go by id
+    pair = F.flatten(F.collect_list(F.transform(F.arrays_zip("near", "cos"), lambda s: F.struct(s["near"].alias("near"), s["cos"].alias("cos")))))
     ranked = F.array_sort(F.array_distinct("p"), lambda a, b: F.when(a["cos"] > b["cos"], -1).when(a["cos"] < b["cos"], 1).when(a["near"] < b["near"], -1).when(a["near"] > b["near"], 1).otherwise(0))
     return (
         met.groupBy("c")
@@ -236,5 +236,5 @@ def similar_pairs(
     step = placed.select("h1", "h2", "salt", F.col("id").alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda s: F.pmod(F.col("i") + s, F.col("m")))).alias("i"))
     ring = step.join(placed.select("h1", "h2", "salt", "i", F.col("id").alias("b")), ["h1", "h2", "salt", "i"]).where("a <> b").select("a", "b")
 
-    pairs = across.unionByName(small.unionByName(ring).withColumn("cosine", F.lit(1.0)))
-    return pairs.groupBy(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).agg(F.max("cosine").alias("cosine"))
+    pairs = across.unionByName(small.unionByName(ring).withColumn("cosine", F.lit(1.0).cast("float")))
+    return pairs.groupBy(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).agg(F.round(F.max(F.col("cosine").cast("double")), 6).alias("cosine"))
