@@ -87,13 +87,14 @@ def _bands(bands: int, rows: int, seed: int = 5):
                 # multiply-shift in 32 bits: the high half decides
                 low = np.empty(bands * rows, "u4")
                 for lo in range(0, len(h), 512):
-                    part = (h[lo : lo + 512, None] * mult32).min(axis=0)
+                    part = (h[lo : lo + 512, None] * mult32 + add32).min(axis=0)
                     low = part if lo == 0 else np.minimum(low, part)
                 keys[i] = (low.reshape(bands, rows).astype("u8") * band_mult).sum(axis=1) + np.uint64(xxhash.xxh3_64_intdigest(kind))
             keys = mix(keys + np.arange(bands, dtype="u8") * np.uint64(0x632BE59BD9B4E019))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view("i8")), pa.array(np.repeat(prints, bands))], names=["band", "fp"])
 
     mult32 = (mult >> np.uint64(31)).astype("u4") | np.uint32(1)
+    add32 = rng.integers(0, 1 << 32, bands * rows, dtype="u4")
     return run
 
 
@@ -177,14 +178,38 @@ def _verify(threshold: float):
     return run
 
 
+def _members(ids: DataFrame, bits: int = 24):
+    """Which fingerprints may be among ``ids`` (column ``fp``): a bitmap of their leading bits, 2 MB at any size of data.
+
+    Words of it are put together before they come to the driver, 2**18 of them at most.
+    """
+    slot = F.shiftrightunsigned("fp", 64 - bits)
+    words_ = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("m")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), "u8")
+    bitmap[words_.column("w").to_numpy()] = words_.column("m").to_numpy().view("u8")
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column("fp").to_numpy().view("u8") >> np.uint64(64 - bits)
+            hit = shared.value[(s >> np.uint64(6)).astype("i8")] >> (s & np.uint64(63)) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return run
+
+
 def _links(pairs: DataFrame, records: DataFrame, threshold: float, sigmas: float) -> DataFrame:
     """``a, b, similarity`` of the pairs that pass the pivots and the exact test."""
-    slim = records.select("fp", "n", "pivots")
+    # equal texts have equal columns
+    slim = records.groupBy("fp").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"))
     left = slim.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pivots").alias("pa"))
     right = slim.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pivots").alias("pb"))
     survivors = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_near(sigmas, threshold), "a long, b long")
     survivors = written(survivors, "near-survivors")
-    runs = records.select("fp", "runs").join(survivors.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+    # only the runs of survivors are moved
+    ids = survivors.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    few = records.select("fp", "runs").mapInArrow(_members(ids), "fp long, runs binary")
+    runs = few.join(ids, "fp", "left_semi").groupBy("fp").agg(F.first("runs").alias("runs"))
     ra, rb = runs.select(F.col("fp").alias("a"), F.col("runs").alias("ra")), runs.select(F.col("fp").alias("b"), F.col("runs").alias("rb"))
     return survivors.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
@@ -220,11 +245,9 @@ def near_duplicates(
     """
     source = df.select(kind.alias("kind"), record_id.cast("string").alias("id"), text.alias("text")).where("kind is not null and id is not null and text is not null")
     records = written(source.mapInArrow(_records(size, min_words, Pivots(pivots)), "kind string, id string, fp long, n int, runs binary, pivots binary"), "near-records")
-    # one record a fingerprint: its columns are equal in all copies
     banded = records.select("kind", "fp", "runs").mapInArrow(_bands(bands, rows), "band long, fp long")
     pairs = written(banded.repartition("band").sortWithinPartitions("band", "fp").mapInArrow(_pairs(small), "a long, b long, big long"), "near-pairs")
-    once = records.groupBy("fp").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("runs").alias("runs"))
-    links = written(_links(pairs.select("a", "b").distinct(), once, threshold, sigmas), "near-links")
+    links = written(_links(pairs.select("a", "b").distinct(), records, threshold, sigmas), "near-links")
     if pairs.where("big is not null").limit(1).count():
         # in large buckets, all pairs between records that are not yet in one group
         group = connected_components(links)
@@ -237,7 +260,7 @@ def near_duplicates(
         x = member.select("big", F.pmod(F.xxhash64("fp"), F.lit(blocks)).alias("block"), F.col("fp").alias("a"), F.col("component").alias("ca"))
         y = member.select("big", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("fp").alias("b"), F.col("component").alias("cb"))
         cross = x.join(y, ["big", "block"]).where("ca <> cb and a < b").select("a", "b").distinct()
-        links = written(links.unionByName(_links(cross, once, threshold, sigmas)), "near-links").dropDuplicates(["a", "b"])
+        links = written(links.unionByName(_links(cross, records, threshold, sigmas)).dropDuplicates(["a", "b"]), "near-links")
     group = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
     one = records.groupBy("kind", "id").agg(F.max("fp").alias("fp"))
