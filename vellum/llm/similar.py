@@ -155,8 +155,9 @@ def nearest(classes: DataFrame, dim: int, k: int, trees: int, leaf: int, probes:
     """
     spark = classes.sparkSession
     n = classes.count()
-    # bounded: fit_rows vectors, chosen by hash
-    sample = classes.orderBy(F.xxhash64("c"), "c").limit(fit_rows).select("v").toArrow().column(0).combine_chunks()
+    # bounded: fit_rows vectors, of about a tenth more that are chosen by hash
+    share = int(min(1.0, 1.1 * fit_rows / max(n, 1)) * (1 << 31))
+    sample = classes.where(F.pmod(F.xxhash64("c"), F.lit(1 << 31)) < share).limit(fit_rows).select("v").toArrow().column(0).combine_chunks()
     x = _matrix(sample, dim) if n else np.empty((0, dim), "f4")
     forest = Forest(x, n, trees, leaf, seed)
     shared = spark.sparkContext.broadcast(forest)  # at most as large as the sample times the number of trees
