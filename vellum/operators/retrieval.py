@@ -14,21 +14,25 @@ CAPTION_WEIGHT = 0.80
 RRF_K = 60
 
 
-def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+def _texts(df: DataFrame, id_col: str, text: Column, unique: bool) -> DataFrame:
+    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
+    return named if unique else named.groupBy("id").agg(F.max("text").alias("text"))
+
+
+def postings(df: DataFrame, id_col: str, text: Column, *, unique: bool = False) -> DataFrame:
     """[SRC17] ``term, id, tf, dl``: how often each word stands in each text, and the text's length in words.
 
-    Texts without words, null texts and null ids have no postings; a repeated id counts as one text, the greatest.
+    Texts without words, null texts and null ids have no postings; a repeated id counts as one text, the greatest. Where ids are known to be
+    ``unique``, the texts need not be moved to find repeats. Words are counted within each text, so what is shuffled is a row a word and text.
     """
-    once = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(text).alias("text"))
-    w = once.select("id", tokenize_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = _texts(df, id_col, text, unique).select("id", tokenize_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     return w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+def corpus_statistics(df: DataFrame, id_col: str, text: Column, *, unique: bool = False) -> DataFrame:
     """One row: number of texts with words, and their mean length in words."""
-    once = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(text).alias("text"))
     n = F.size(tokenize_words(F.col("text")))
-    return once.select(n.alias("dl")).where("dl > 0").agg(F.count("*").alias("n_texts"), F.avg("dl").alias("mean_dl"))
+    return _texts(df, id_col, text, unique).select(n.alias("dl")).where("dl > 0").agg(F.count("*").alias("n_texts"), F.avg("dl").alias("mean_dl"))
 
 
 def bm25(index: DataFrame, statistics: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -134,6 +138,6 @@ def comparison(labelled: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def build_index(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
+def build_index(df: DataFrame, id_col: str, text: Column, *, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """[SRC17] Postings written to the shared folder, and the statistics of the texts."""
-    return written(postings(df, id_col, text), "postings"), corpus_statistics(df, id_col, text)
+    return written(postings(df, id_col, text, unique=unique), "postings"), corpus_statistics(df, id_col, text, unique=unique)

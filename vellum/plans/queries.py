@@ -403,14 +403,14 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 @query("ret2_bm25", f"WITH {BM25_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
 def ret2_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """RET2, SRC17: the ten best documents for each question, against all."""
-    index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"), unique=True)
     return bm25(index, stats, _questions(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
 @query("src17_postings", f"SELECT term, count(*) AS texts, sum(tf) AS occurrences FROM (SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({WORDS_SQL}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def src17_postings(spark: SparkSession, sf: str) -> DataFrame:
     """SRC17: how many texts each word stands in."""
-    return postings(table(spark, sf, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("texts"), F.sum("tf").alias("occurrences"))
+    return postings(table(spark, sf, "documents"), "doc_id", F.col("text"), unique=True).groupBy("term").agg(F.count("*").alias("texts"), F.sum("tf").alias("occurrences"))
 
 
 RRF_SQL = f"""
@@ -422,7 +422,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"), unique=True)
     lexical = bm25(index, stats, _questions(spark, sf), 36).select("query_id", "id", "rank")
     return fuse([lexical, _knn(spark, sf, 36).select("query_id", F.col("row_id").alias("id"), "rank")], 36)
 
@@ -462,7 +462,7 @@ def ret6_refine(spark: SparkSession, sf: str) -> DataFrame:
 @query("ret8_retrieve")
 def ret8_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """RET7-RET9: candidates of each question in both modes, below one another."""
-    index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"), unique=True)
     q, types = _questions(spark, sf), _typed(spark, sf)
     near = _knn(spark, sf, 36).select("query_id", F.col("row_id").alias("id"), "rank")
     one = lambda df: df.select("query_id", F.col("final_rank").alias("rank"), "id")
