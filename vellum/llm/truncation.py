@@ -103,13 +103,15 @@ def truncated(df: DataFrame, item_id: Column, source: Column, text: Column) -> D
     rows = df.select(item_id.alias("item_id"), source.alias("source"), text.alias("text"))
     limits = length_limits(rows, F.col("source"), F.col("text")).groupBy("source").agg(F.array_distinct(F.collect_list(F.concat_ws("=", "measure", F.col("limit").cast("string")))).alias("limits"))
     e = endings(F.col("text"))
-    at = F.coalesce(F.arrays_overlap("limits", F.array(*[F.concat_ws("=", F.lit(k), v.cast("string")) for k, v in measures(F.col("text")).items()])), F.lit(False))
     blank = F.coalesce(F.trim(F.col("text"), F.lit(BLANK)) == "", F.lit(True))
-    judged = rows.withColumns({"blank": blank, "unfinished": F.coalesce(e["unfinished"], F.lit(False)), "doubtful": F.coalesce(e["doubtful"], F.lit(False))})
-    # limits: a row a source
+    lengths = F.array(*[F.concat_ws("=", F.lit(name), v.cast("string")) for name, v in measures(F.col("text")).items()])
+    # what meets the limits has lengths and marks, but no texts
+    judged = rows.select("item_id", "source", (~blank & F.coalesce(e["unfinished"], F.lit(False))).alias("unfinished"), (~blank & F.coalesce(e["doubtful"], F.lit(False))).alias("doubtful"), F.when(~blank, lengths).alias("lengths"))
     k = F.coalesce(F.col("source"), F.lit("\x00"))
+    at = F.coalesce(F.arrays_overlap("limits", "lengths"), F.lit(False))
+    # limits: a row a source
     joined = judged.withColumn("k", k).join(limits.select(k.alias("k"), "limits"), "k", "left")
-    return joined.select("item_id", "source", (~F.col("blank") & (F.col("unfinished") | (F.col("doubtful") & at))).alias("truncated"), (~F.col("blank") & at).alias("at_limit"))
+    return joined.select("item_id", "source", (F.col("unfinished") | (F.col("doubtful") & at)).alias("truncated"), at.alias("at_limit"))
 
 
 def truncation_rates(judged: DataFrame) -> DataFrame:
