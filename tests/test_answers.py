@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from vellum.operators.answers import claim_prompts, claims, finished_cleanly, outcomes, parse_gate, prune, render_citations, renumbered, support_check, verification_batches, verify_citations
+from vellum.operators.answers import claim_prompts, claims, finished_cleanly, outcomes, parse_gate, prune, render_citations, renumbered, repair_feedback, support_check, verification_batches, verify_citations
 
 ANSWER = (
     "Cells move along gradients of stiffness in the tissue. However, this model explains the flow [S1]. It is short.\n\n"
@@ -63,3 +63,10 @@ def test_outcomes(spark, data):
     v = spark.createDataFrame([(4, "C1", "SUPPORTED")], "query_id int, claim_id string, verdict string")
     got = {r.query_id: (r.outcome, r.answer) for r in outcomes(q, e, gate, a.withColumn("done_reason", F.lit("stop")), v).collect()}
     assert got == {1: ("citations invalid", None), 2: ("no evidence", None), 3: ("no evidence", None), 4: ("answered", "All good [c.pdf, p. 1]."), 5: ("no evidence", None)}
+
+
+def test_repair_feedback(spark, data):
+    a, _ = data
+    v = spark.createDataFrame([(1, "C1", "SUPPORTED", ""), (1, "C2", "PARTIAL", "half of it"), (4, "C1", "SUPPORTED", None)], "query_id int, claim_id string, verdict string, reason string")
+    got = dict(rows(repair_feedback(claims(a), v)))
+    assert got == {1: "- NOT CITED: Cells move along gradients of stiffness in the tissue.\n- PARTIAL: These results hold for all of the waves . (half of it)\n- NOT VERIFIED: Thus, the last one is not backed by anything ."}

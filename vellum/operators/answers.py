@@ -130,6 +130,19 @@ def prune(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     return answers.select("query_id").distinct().join(whole, "query_id", "left").select("query_id", F.coalesce("pruned", F.lit("")).alias("answer"))
 
 
+def repair_feedback(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """[AGG10] ``query_id, feedback``: what of an answer has to be repaired, in its order; answers without fault don't come out.
+
+    ``verdicts``: ``query_id, claim_id, verdict, reason``. Claims without verdict count as not verified.
+    """
+    v = verdicts.groupBy("query_id", "claim_id").agg(F.max_by(F.struct("verdict", "reason"), F.when(F.col("verdict") == "SUPPORTED", 0).when(F.col("verdict") == "PARTIAL", 1).otherwise(2)).alias("v"))
+    x = found.where("claim_id is not null or uncited").join(v, ["query_id", "claim_id"], "left").where("claim_id is null or v is null or v.verdict is null or v.verdict <> 'SUPPORTED'")
+    judged = F.concat(F.lit("- "), F.coalesce("v.verdict", F.lit("NOT VERIFIED")), F.lit(": "), "claim", F.when(F.col("v.reason") != "", F.concat(F.lit(" ("), "v.reason", F.lit(")"))).otherwise(""))
+    line = F.when(F.col("claim_id").isNull(), F.concat(F.lit("- NOT CITED: "), "claim")).otherwise(judged)
+    ordered = F.array_sort(F.collect_list(F.struct("paragraph", "pos", line.alias("line"))))
+    return x.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("feedback"))
+
+
 def renumbered(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     """[CLM6] ``query_id, old_id, claim_id``: the supported claims, numbered anew."""
     n = F.substring("claim_id", 2, 9).cast("int")
