@@ -150,7 +150,7 @@ words AS (SELECT item_kind, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')
 runs AS (SELECT DISTINCT item_kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words WHERE len(w) >= 40),
 sizes AS (SELECT item_kind, id, count(*) AS n FROM runs GROUP BY ALL),
 common AS (SELECT a.item_kind, a.id AS a, b.id AS b, count(*) AS c FROM runs a JOIN runs b USING (item_kind, run) WHERE a.id <> b.id GROUP BY ALL),
-edges AS (SELECT item_kind, a, b FROM common c JOIN sizes x ON x.item_kind = c.item_kind AND x.id = a JOIN sizes y ON y.item_kind = c.item_kind AND y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
+edges AS (SELECT c.item_kind, a, b FROM common c JOIN sizes x ON x.item_kind = c.item_kind AND x.id = a JOIN sizes y ON y.item_kind = c.item_kind AND y.id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9),
 reach AS (SELECT * FROM edges UNION SELECT r.item_kind, r.a, e.b FROM reach r JOIN edges e ON e.item_kind = r.item_kind AND e.a = r.b)
 """
 
