@@ -74,6 +74,7 @@ def test_merge_with_clashing_and_empty(spark):
     assert rows(merged(t, none, scope), "chunk_id") == [("1",)] and rows(merged(none, t, scope), "chunk_id") == [("1",)]
 
 
+# A manifest whose fingerprint is known.
 SETTINGS = {
     "allow_cross_page_chunks": False, "chunk_max": 700, "chunk_min": 180, "chunk_overlap": 100, "chunk_target": 550, "embedding_model": "nomic-embed-text", "ocr_language": "eng",
     "searchable_chunk_types": ["abstract", "body", "caption", "conclusion", "discussion", "glossary", "introduction", "methods", "results", "sidebar", "supplementary"], "tokenizer_encoding": "cl100k_base", "use_ocr": True,

@@ -18,7 +18,7 @@ from vellum.operators.retrieval import bm25, build_index, comparison, fuse, post
 from vellum.operators.snapshot_diff import delivered_versions, snapshot_changes
 from vellum.operators.vectors import dimensions, dot, l2_normalize, nearest_neighbours, pooled
 from vellum.plans.models import HashingEmbedder, embed_column
-from vellum.plans.shared import table
+from vellum.plans.shared import table, written
 from vellum.plans.sync import document_state, index_summary, sync_plan
 from vellum.sources.library import chunk_report, document_statistics, markdown_export, page_number
 from vellum.sources.store import merged, without_paths
@@ -70,7 +70,8 @@ def _p3(spark: SparkSession, sf: str) -> DataFrame:
     state = table(spark, sf, "indexed_document_state")
     versions = delivered_versions(state, "snapshot_no", path_key(F.col("normalized_path")), [F.col("delivered_at")], {"hashes": hash_set(F.col("sha256s"))})
     deliveries = state.select(F.col("snapshot_no").alias("snapshot")).where("snapshot is not null")
-    return snapshot_changes(versions, deliveries).withColumnRenamed("snapshot", "snapshot_no")
+    # read four times below: written once, so that the last deliveries are not sought again
+    return snapshot_changes(written(versions, "versions"), deliveries).withColumnRenamed("snapshot", "snapshot_no")
 
 
 @query("p3_found", f"WITH {P3_VERSIONS} SELECT * FROM changes")
