@@ -1,5 +1,7 @@
+import glob
 import os
 
+import duckdb
 import pytest
 
 from vellum.llm import queries as llm
@@ -22,3 +24,14 @@ def test_runs(spark, name):
     assert df.dtypes == COLUMNS.get(name, df.dtypes)
     if name.endswith("_found"):
         assert got and len(set(got)) == len(got)
+
+
+@pytest.mark.parametrize("name", sorted(llm.SQL))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS FROM read_parquet('{p}')")
+    df = llm.QUERIES[name](spark, DATA)
+    r = con.execute(llm.SQL[name])
+    at = [[c[0] for c in r.description].index(c) for c in df.columns]
+    assert sorted((tuple(x) for x in df.collect()), key=repr) == sorted((tuple(x[i] for i in at) for x in r.fetchall()), key=repr)

@@ -154,9 +154,35 @@ edges AS (SELECT c.item_kind, a, b FROM common c JOIN sizes x ON x.item_kind = c
 reach AS (SELECT * FROM edges UNION SELECT r.item_kind, r.a, e.b FROM reach r JOIN edges e ON e.item_kind = r.item_kind AND e.a = r.b)
 """
 
+
+_CUT = r"""
+d AS (SELECT doc_id, source, text, trim(text, chars) AS body FROM documents, (SELECT list_reduce(list_transform([32, 9, 10, 13, 11, 12, 28, 29, 30, 31, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8203, 8232, 8233, 8239, 8287, 12288, 65279], lambda n: chr(n)), lambda a, b: a || b) AS chars)),
+m AS (SELECT doc_id, source, text, length(text) AS c, octet_length(encode(text)) AS u, length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) AS latin, octet_length(encode(regexp_replace(text, '[^\x{10000}-\x{10ffff}]', '', 'g'))) // 4 AS beyond,
+  length(text) - length(translate(text, '&', '')) AS amp, length(text) - length(translate(text, '<>', '')) AS lt, length(text) - length(translate(text, chr(34) || chr(39), '')) AS quo,
+  length(text) - length(translate(text, chr(34) || chr(92) || chr(10) || chr(13) || chr(9) || chr(8) || chr(12), '')) + 5 * (length(text) - length(regexp_replace(text, '[\x00-\x07\x0b\x0e-\x1f]', '', 'g'))) AS js,
+  length(text) - length(translate(text, chr(10), '')) - (length(text) - length(replace(text, chr(13) || chr(10), chr(10)))) AS crlf FROM d WHERE body <> '' AND text <> ''),
+ms AS (SELECT doc_id, source, text, unnest(['chars', 'utf8', 'utf16', 'chars_xml', 'chars_xml_text', 'utf8_xml', 'utf8_xml_text', 'chars_json', 'utf8_json', 'ascii_json', 'chars_crlf', 'utf8_crlf']) AS measure,
+  unnest([c, u, c + beyond, c + 4 * amp + 3 * lt + 5 * quo, c + 4 * amp + 3 * lt, u + 4 * amp + 3 * lt + 5 * quo, u + 4 * amp + 3 * lt, c + js, u + js, c + js + 5 * latin + 6 * beyond, c + crlf, u + crlf]) AS n FROM m),
+cnt AS (SELECT source, measure, n, count(DISTINCT text) AS texts FROM ms GROUP BY ALL),
+win AS (SELECT source, measure, n, texts, sum(texts) OVER (PARTITION BY source, measure ORDER BY n RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS near,
+  (sum(texts) OVER (PARTITION BY source, measure ORDER BY n RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) - sum(texts) OVER (PARTITION BY source, measure ORDER BY n RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)) * 4 / 94.0 AS expected FROM cnt),
+lim AS (SELECT *, max(near) OVER (PARTITION BY source, measure ORDER BY n RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS most FROM win WHERE texts >= 3 AND near >= expected + 6 * sqrt(expected) + 3),
+piled AS (SELECT DISTINCT doc_id FROM ms JOIN lim ON ms.source IS NOT DISTINCT FROM lim.source AND ms.measure = lim.measure AND ms.n = lim.n AND near = most),
+b AS (SELECT doc_id, source, body, right(regexp_extract(body, '([^\n\r]*)$', 1), 80) AS tail, regexp_extract(body, '([^\n\r]*)$', 1) AS last FROM d WHERE body <> ''),
+e AS (SELECT *, regexp_matches(tail, '(\.\.\.|…|\[\s*(\.\.\.|…|more|cont[^\]]{0,20})\s*\]|\(\s*(\.\.\.|…|more|cont[^)]{0,20})\s*\))$') AS omitted,
+  regexp_matches(tail, '(^|[^\p{L}\p{N}])(Fig|Figs|Eq|Eqs|Ref|Refs|al|cf|vs|ca|approx|Nr|No|Abb|bzw|vgl|ej|éd|e\.g|i\.e|z\.B)\.$') AS abbreviated, regexp_matches(tail, '(^|[^\p{N}.,])\p{N}+\.$') AS number,
+  regexp_matches(last, '^\s*([-*•–—·]|\(?\p{N}{1,3}[.)]|\(?[a-z]\))\s') OR contains(last, chr(9)) OR regexp_matches(last, '^\s*\|') OR regexp_matches(last, '(?i)^\s*(key ?words|tags|index terms|mots[- ]cl[ée]s|schlagw[oö]rter|palabras clave|shelf ?mark|signatur|cote|signatura|call number|doi|isbn|issn)\b') AS line,
+  length(body) <= 120 AND NOT regexp_matches(body, '[\n\r]') AND NOT regexp_matches(body, '[.!?;,:]\s') AND len(regexp_split_to_array(body, '[\s\p{Z}]+')) <= 12 AS title FROM b),
+s AS (SELECT *, regexp_matches(tail, '[.!?。]["''”’»«)\]]*$') AND NOT omitted AS stop FROM e),
+cut AS (SELECT doc_id, source, omitted OR abbreviated OR (NOT stop AND NOT line AND NOT title) OR (((stop AND number AND NOT abbreviated) OR (NOT omitted AND NOT stop AND title AND NOT line)) AND doc_id IN (SELECT doc_id FROM piled)) AS cut FROM s)
+"""
+
 # The rest can't be said in SQL: edit distances over a trie, a public tokenizer, placing one item after another.
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_VECTORS}, near AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY array_inner_product(a.u, b.u) DESC, b.chunk_id) <= 5) SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM near",
     "p4_found": f"WITH {_PARTS} SELECT item_kind, item_id, CASE WHEN par <= 700 THEN 'paragraph' WHEN sent <= 700 THEN 'sentence' WHEN run <= 700 THEN 'word' ELSE 'none' END AS boundary FROM most JOIN most_s USING (item_kind, item_id) JOIN most_r USING (item_kind, item_id)",
     "p5_found": f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT item_kind, a AS id_a, b AS id_b FROM reach WHERE a < b",
+    "p8_found": f"WITH {_CUT} SELECT doc_id FROM cut WHERE cut",
+    "p8_rates": f"WITH {_CUT}, j AS (SELECT source, coalesce(cut, false) AS cut FROM documents LEFT JOIN (SELECT doc_id, cut FROM cut) USING (doc_id)) SELECT source, count(*) AS texts, count(*) FILTER (cut) AS truncated, round(count(*) FILTER (cut) / count(*), 6) AS rate FROM j GROUP BY source",
+    "p8_limits": f'WITH {_CUT} SELECT source, measure, n AS "limit", near AS texts, round(expected, 3) AS expected FROM lim WHERE near = most',
 }
