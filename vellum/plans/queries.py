@@ -147,7 +147,18 @@ def txt2_box_text(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.select("page_id", "box_index", T.box_text(F.col("raw_text"), F.col("s")).alias("box_text"))
 
 
-@query("txt4_layout_clean")
+LAYOUT_SQL = rf"""
+WITH b AS (SELECT DISTINCT page_id, raw_text, page_boxes FROM page_content),
+o AS (SELECT *, list_sort(list_transform(page_boxes, lambda b: {{'i': b.box_index, 'k': b.box_class, 's': b.char_span}}), 'ASC', 'NULLS FIRST') AS boxes FROM b),
+s AS (SELECT *, list_filter(list_transform(boxes, lambda x: {{'k': coalesce(x.k, ''), 't': CASE WHEN raw_text IS NOT NULL AND len(x.s) = 2 AND x.s[1] >= 0 AND x.s[2] > x.s[1] AND x.s[1] < length(raw_text)
+   THEN {_strip("substring(raw_text, x.s[1] + 1, least(x.s[2], length(raw_text)) - x.s[1])")} ELSE '' END}}), lambda x: x.t <> '' AND x.k NOT IN ('picture', 'page-header', 'page-footer')) AS slices FROM o),
+j AS (SELECT *, coalesce(list_transform(list_filter(slices, lambda x: x.k = 'caption'), lambda x: x.t), []) AS captions,
+  coalesce(list_reduce(list_concat([''], list_transform(list_filter(slices, lambda x: x.k <> 'caption'), lambda x: x.t)), lambda a, x: CASE WHEN a = '' THEN x WHEN ends_with(a, '-') AND regexp_matches(x, '^\p{{Ll}}') THEN left(a, -1) || x ELSE a || chr(10) || chr(10) || x END), '') AS joined FROM s)
+SELECT DISTINCT page_id, CASE WHEN coalesce(len(page_boxes), 0) = 0 OR (length(joined) < 50 AND length({_strip("coalesce(raw_text, '')")}) > 200) THEN {_strip("coalesce(raw_text, '')")} ELSE joined END AS body, captions FROM j
+"""
+
+
+@query("txt4_layout_clean", LAYOUT_SQL)
 def txt4_layout_clean(spark: SparkSession, sf: str) -> DataFrame:
     """TXT3, TXT4: body and captions of each page."""
     c = layout_clean(F.col("raw_text"), F.col("page_boxes"))
@@ -271,7 +282,20 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return repair_interrupted(document_blocks(pages.select("document_id", "title", "page_order", "page_number", "text", "captions")))
 
 
-@query("gen2_blocks")
+# the tables have no headings: a page's blocks are its paragraphs and captions
+BLOCKS_SQL = rf"""
+WITH {PAGES_SQL}, {UNITS_SQL.replace("unnest(list_filter(list_transform(", "list_filter(list_transform(").replace("lambda p: p <> '')) AS p FROM marked", "lambda p: p <> '') AS ps FROM marked")},
+t AS (SELECT document_id, min(nullif({_strip('title')}, '')) AS title FROM parsed_document GROUP BY document_id),
+x AS (SELECT page_id, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS pos FROM parts),
+f AS (SELECT x.*, document_id, page_number, coalesce({META_SQL}, false) AS meta, title FROM x JOIN (SELECT page_id, document_id, page_number FROM pages) USING (page_id) LEFT JOIN t USING (document_id)),
+g AS (SELECT *, count(*) FILTER (meta) OVER (PARTITION BY page_id) >= greatest(2, count(*) OVER (PARTITION BY page_id) // 2) AS mostly FROM f),
+c AS (SELECT document_id, page_id, page_number, unnest(captions) AS caption, generate_subscripts(captions, 1) - 1 AS i FROM pages)
+SELECT document_id, page_id AS page_order, pos, text, page_number, coalesce(title, 'Main text') AS section, CASE WHEN mostly OR meta THEN 'metadata' ELSE 'body' END AS chunk_type, false AS is_heading, CAST(NULL AS integer) AS level FROM g
+UNION ALL SELECT document_id, page_id, i + 1048576, {_norm('caption')}, page_number, 'Figure / Table Caption', 'caption', false, NULL FROM c WHERE {_norm('caption')} <> ''
+"""
+
+
+@query("gen2_blocks", BLOCKS_SQL)
 def gen2_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """GEN2, GEN3, GEN5, FIL6: blocks of all documents with section and type."""
     return _blocks(spark, sf)
@@ -284,11 +308,28 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return assemble_chunks(segs, named)
 
 
-@query("gen6_split", f"SELECT chunk_id, 1 AS pieces, {_strip('text')} AS first FROM (SELECT DISTINCT chunk_id, text FROM research_chunk) WHERE text IS NOT NULL AND {_count('text')} <= 700")
+SPLIT_SQL = rf"""
+WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, {_strip('text')} AS t FROM research_chunk WHERE text IS NOT NULL),
+n AS (SELECT chunk_id, t, {_count('t')} AS n FROM c),
+sents AS (SELECT chunk_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9(\[])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda s: {_strip('s')}), lambda s: s <> '') AS ss FROM n WHERE n > 700),
+sized AS (SELECT chunk_id, unnest(list_transform(ss, lambda s: {_count('s')})) AS n, generate_subscripts(ss, 1) AS i FROM sents WHERE len(ss) > 1),
+walk AS (
+  SELECT chunk_id, 0::bigint AS i, 0::bigint AS cur, 0::bigint AS pieces FROM sized GROUP BY chunk_id
+  UNION ALL
+  SELECT w.chunk_id, s.i,
+    CASE WHEN (w.cur = 0 OR w.cur + s.n > 550) AND s.n > 700 THEN 0 WHEN w.cur = 0 OR w.cur + s.n > 550 THEN s.n ELSE w.cur + s.n END,
+    w.pieces + CASE WHEN w.cur > 0 AND w.cur + s.n > 550 THEN 1 ELSE 0 END + CASE WHEN (w.cur = 0 OR w.cur + s.n > 550) AND s.n > 700 THEN 1 + (s.n - 101) // 450 ELSE 0 END
+  FROM walk w JOIN sized s ON s.chunk_id = w.chunk_id AND s.i = w.i + 1),
+packed AS (SELECT chunk_id, arg_max(pieces + CASE WHEN cur > 0 THEN 1 ELSE 0 END, i) AS pieces FROM walk GROUP BY chunk_id)
+SELECT chunk_id, CASE WHEN n <= 700 THEN 1 WHEN packed.pieces IS NULL THEN 1 + (n - 101) // 450 ELSE packed.pieces END AS pieces FROM n LEFT JOIN packed USING (chunk_id)
+"""
+
+
+@query("gen6_split", SPLIT_SQL)
 def gen6_split(spark: SparkSession, sf: str) -> DataFrame:
-    """GEN6: stored chunks that need no cut come out as they are, stripped."""
-    c = table(spark, sf, "research_chunk").select("chunk_id", "text").distinct().where(F.col("text").isNotNull() & (T.count_tokens(F.col("text")) <= 700))
-    return c.select("chunk_id", split_long(F.col("text")).alias("s")).select("chunk_id", F.size("s").alias("pieces"), F.col("s")[0].alias("first"))
+    """GEN6: into how many segments each stored chunk would be cut."""
+    c = table(spark, sf, "research_chunk").select("chunk_id", "text").distinct().where("text is not null")
+    return c.select("chunk_id", F.size(split_long(F.col("text"))).alias("pieces"))
 
 
 @query("gen10_chunks")
@@ -460,7 +501,15 @@ def ret6_refine(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("query_id", "id", "chunk_type", F.round("refined", 9).alias("refined"), "final_rank")
 
 
-@query("ret8_retrieve")
+def _refined(source: str, name: str) -> str:
+    return f"""{name}_c AS (SELECT r.*, chunk_type, score * CASE chunk_type WHEN 'caption' THEN 0.8 WHEN 'methods' THEN 0.97 WHEN 'supplementary' THEN 0.92 ELSE 1.0 END AS refined FROM {source} r JOIN (SELECT doc_id AS id, {TYPES_SQL} AS chunk_type FROM documents) USING (id) WHERE rank <= 36),
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY refined DESC, score DESC, rank) AS ord FROM {name}_c),
+{name}_d AS (SELECT *, chunk_type = 'caption' AND count(*) FILTER (chunk_type = 'caption') OVER (PARTITION BY query_id ORDER BY ord) > 2 AS deferred FROM {name}_o),
+{name}_p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY deferred, ord) AS pick FROM {name}_d),
+{name} AS (SELECT '{name}' AS label, query_id, row_number() OVER (PARTITION BY query_id ORDER BY refined DESC, score DESC, deferred, ord) AS rank, id FROM {name}_p WHERE pick <= 12)"""
+
+
+@query("ret8_retrieve", RRF_SQL.rstrip() + f", near AS (SELECT query_id, id, 1.0 / (60 + rank) AS score, rank FROM knn), {_refined('ranked', 'hybrid')}, {_refined('near', 'vector')} SELECT * FROM hybrid UNION ALL SELECT * FROM vector")
 def ret8_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """RET7-RET9: candidates of each question in both modes, below one another."""
     index, stats = build_index(table(spark, sf, "documents"), "doc_id", F.col("text"), unique=True)
@@ -629,7 +678,22 @@ def clm6_renumber(spark: SparkSession, sf: str) -> DataFrame:
     return renumbered(claims(_answers(spark, sf)), _verdicts(spark, sf))
 
 
-@query("qa1_outcomes")
+# the gate as in gat1, the answers as in cit3, the verdicts as in clm3
+OUTCOME_SQL = f"""
+WITH {EVID_SQL}, {ASKED_SQL}, {CLAIM_SQL}, q AS (SELECT query_id, {_terms('question')} AS terms FROM asked),
+w AS (SELECT query_id, list_distinct(flatten(list({WORDS_SQL.replace('text', "coalesce(text, '')")}))) AS words FROM ev GROUP BY query_id),
+m AS (SELECT query_id, terms, list_filter(terms, lambda t: list_contains(words, t)) AS matched, list_filter(terms, lambda t: regexp_matches(t, '[0-9-]')) AS anchors FROM q JOIN w USING (query_id)),
+gate AS (SELECT query_id, NOT (len(anchors) > 0 AND len(list_intersect(anchors, matched)) = 0) AND NOT (len(terms) > 0 AND len(matched) = 0) AS ok FROM m),
+a AS (SELECT v.query_id, bool_and(ev.source_id IS NOT NULL) AS cited, count(*) <= 24 AND bool_and(v = 0) AS supported, coalesce(bool_or(v = 0), false) AS any_kept,
+  string_agg(s || ' ' || coalesce('[' || filename || CASE WHEN page_start = page_end THEN ', p. ' || page_start ELSE ', pp. ' || page_start || '-' || page_end END || ']', '[' || mark || ']') || '.', chr(10) || chr(10) ORDER BY n) AS whole,
+  string_agg({_strip("s || ' '")} || ' ' || coalesce('[' || filename || CASE WHEN page_start = page_end THEN ', p. ' || page_start ELSE ', pp. ' || page_start || '-' || page_end END || ']', '[' || mark || ']') || '.', chr(10) || chr(10) ORDER BY n) FILTER (v = 0) AS part
+  FROM verdicts v LEFT JOIN ev ON ev.query_id = v.query_id AND ev.source_id = v.mark GROUP BY v.query_id),
+o AS (SELECT query_id, CASE WHEN NOT coalesce(ok, false) THEN 'insufficient evidence' WHEN query_id % 11 = 0 THEN 'not generated' WHEN NOT cited THEN 'citations invalid' WHEN supported THEN 'answered' WHEN any_kept THEN 'answered in part' ELSE 'claims not supported' END AS outcome, whole, part FROM a LEFT JOIN gate USING (query_id))
+SELECT query_id, outcome, CASE outcome WHEN 'answered' THEN whole WHEN 'answered in part' THEN part END AS answer FROM o
+"""
+
+
+@query("qa1_outcomes", OUTCOME_SQL)
 def qa1_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """QA1, QA2, GEN21: where the way of each question ends."""
     e, asked = _evidence(spark, sf), _asked(spark, sf)
