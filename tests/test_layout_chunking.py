@@ -57,6 +57,16 @@ def test_blocks_carry_sections_and_inherit(spark):
     ]
 
 
+def test_sections_carry_over_blocks_of_pages(spark):
+    pages = [("d", "T", i * 5000, i, "# Results\n\nx" if i == 1 else f"p{i}", None) for i in range(5)]
+    b = document_blocks(spark.createDataFrame(pages, PAGE))
+    assert [r.section for r in b.orderBy("page_order", "pos").collect()] == ["T", "Results", "Results", "Results", "Results", "Results"]
+    chunks = assemble_chunks(segments(b), spark.createDataFrame([("d", "s")], "document_id string, sha256 string"))
+    assert [(r.chunk_index, r.text) for r in chunks.orderBy("chunk_index").collect()] == [(0, "p0"), (1, "x"), (2, "p2"), (3, "p3"), (4, "p4")]
+    wide = assemble_chunks(segments(b), spark.createDataFrame([("d", "s")], "document_id string, sha256 string"), ChunkSizes(cross_page=True))
+    assert [(r.chunk_index, r.text, r.page_start, r.page_end) for r in wide.orderBy("chunk_index").collect()] == [(0, "p0", 0, 0), (1, "x\n\np2\n\np3\n\np4", 1, 4)]
+
+
 def block(pos, text, heading=False, section="S", kind="body", page=1):
     return ("d", page, pos, text, page, section, kind, heading, 2 if heading else None)
 

@@ -14,6 +14,8 @@ from vellum.functions.text import count_tokens, stable_id, strip
 
 #: A token with the white space before it, so that tokens joined give the text.
 SPACED_TOKEN = r"\s*(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
+#: Pages of a document that are numbered together.
+PAGE_BLOCK = 4096
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9(\[])"
 
 
@@ -114,14 +116,14 @@ def _assembled(sizes: ChunkSizes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("document_id", "run", "part", "text", "page_start", "page_end", "section", "chunk_type")}
+            out: dict[str, list] = {k: [] for k in ("document_id", "area", "run", "part", "text", "page_start", "page_end", "section", "chunk_type")}
             for row in b.to_pylist():
                 for i, g in enumerate(groups(row["segs"])):
                     pages = [x["page_number"] for x in g if x["page_number"] is not None]
-                    values = (row["document_id"], row["run"], i, "\n\n".join(x["text"] for x in g), min(pages, default=None), max(pages, default=None), g[0]["section"], g[0]["chunk_type"])
+                    values = (row["document_id"], row["area"], row["run"], i, "\n\n".join(x["text"] for x in g), min(pages, default=None), max(pages, default=None), g[0]["section"], g[0]["chunk_type"])
                     for k, v in zip(out, values):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("document_id", pa.string()), ("run", pa.int64()), ("part", pa.int32()), ("text", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("section", pa.string()), ("chunk_type", pa.string())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("document_id", pa.string()), ("area", pa.int64()), ("run", pa.int64()), ("part", pa.int32()), ("text", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("section", pa.string()), ("chunk_type", pa.string())]))
 
     return run
 
@@ -133,15 +135,19 @@ def assemble_chunks(segs: DataFrame, documents: DataFrame, sizes: ChunkSizes = C
     ``cross_page``) is folded by itself, as no chunk and no overlap goes beyond one.
     ``documents``: ``document_id, sha256``. Documents without segments give none; null sections or types are values of their own.
     """
-    order = Window.partitionBy("document_id").orderBy("page_order", "pos", "seg")
-    keys = ["section", "chunk_type"] + ([] if sizes.cross_page else ["page_order"])
-    changed = F.lit(False)
-    for k in keys:
-        changed = changed | ~F.col(k).eqNullSafe(F.lag(k).over(order))
-    numbered = segs.withColumn("new", F.when(F.row_number().over(order) == 1, True).otherwise(changed).cast("long")).withColumn("run", F.sum("new").over(order))
-    runs = numbered.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(F.struct("page_order", "pos", "seg", F.col("text"), F.col("page_number").cast("int").alias("page_number"), "section", "chunk_type"))).alias("segs"))
-    parts = runs.mapInArrow(_assembled(sizes), "document_id string, run long, part int, text string, page_start int, page_end int, section string, chunk_type string")
-    indexed = parts.withColumn("chunk_index", (F.row_number().over(Window.partitionBy("document_id").orderBy("run", "part")) - 1).cast("int"))
+    # runs don't go beyond a page, so pages can be numbered apart
+    area = F.lit(0).cast("long") if sizes.cross_page else F.col("page_order").cast("long")
+    x = segs.withColumn("area", area)
+    order = Window.partitionBy("document_id", "area").orderBy("page_order", "pos", "seg")
+    changed = ~F.col("section").eqNullSafe(F.lag("section").over(order)) | ~F.col("chunk_type").eqNullSafe(F.lag("chunk_type").over(order))
+    numbered = x.withColumn("new", F.when(F.row_number().over(order) == 1, True).otherwise(changed).cast("long")).withColumn("run", F.sum("new").over(order))
+    runs = numbered.groupBy("document_id", "area", "run").agg(F.array_sort(F.collect_list(F.struct("page_order", "pos", "seg", F.col("text"), F.col("page_number").cast("int").alias("page_number"), "section", "chunk_type"))).alias("segs"))
+    parts = runs.mapInArrow(_assembled(sizes), "document_id string, area long, run long, part int, text string, page_start int, page_end int, section string, chunk_type string")
+    # chunks are numbered through a document in two steps: within blocks of pages, and by what the blocks before hold
+    parts = parts.withColumn("block", F.floor(F.col("area") / PAGE_BLOCK))
+    before = parts.groupBy("document_id", "block").agg(F.count("*").alias("n")).select("document_id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("document_id", "block").orderBy("area", "run", "part")) - 1
+    indexed = parts.withColumn("place", place).join(before, ["document_id", "block"]).withColumn("chunk_index", (F.col("place") + F.col("before")).cast("int"))
     parts_of_id = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sha256", "chunk_index", "page_start", "page_end", "section", "chunk_type", "text")]
     return indexed.join(documents.select("document_id", "sha256"), "document_id").select(
         stable_id(parts_of_id).alias("chunk_id"), "document_id", "chunk_index", "page_start", "page_end", "section", "chunk_type", "text", count_tokens(F.col("text")).alias("token_count")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vellum.functions.headings import INHERITED, heading_type
 from vellum.functions.text import box_text, clean_heading, count_tokens, join_segments, looks_like_metadata, normalize, starts_with_lowercase, strip
 
+#: Pages of a document that are walked together.
+PAGE_BLOCK = 4096
 #: Breaks of lines besides the line feed.
 LINE_BREAKS = "\x0b\f\x1c\x1d\x1e\x85\u2028\u2029"
 
@@ -77,10 +79,14 @@ def document_blocks(pages: DataFrame) -> DataFrame:
     heads = heads.select("document_id", "page_order", "pos", F.coalesce(resolved, F.lit("body")).alias("kind_of_heading"))
 
     rows = units.join(heads, ["document_id", "page_order", "pos"], "left")
-    upto = doc.orderBy("page_order", "pos").rowsBetween(Window.unboundedPreceding, 0)
     page = Window.partitionBy("document_id", "page_order")
     paragraph = F.col("kind") == "paragraph"
-    rows = rows.withColumns({"meta": paragraph & looks_like_metadata(F.col("text")), "current": F.last(F.when(~paragraph, F.struct("text", "kind_of_heading")), ignorenulls=True).over(upto)})
+    rows = rows.withColumns({"meta": paragraph & looks_like_metadata(F.col("text")), "block": F.floor(F.col("page_order") / PAGE_BLOCK), "heading": F.when(~paragraph, F.struct("page_order", "pos", "text", "kind_of_heading"))})
+    # the heading that a paragraph stands under: within its block of pages, else the last of the blocks before
+    within = Window.partitionBy("document_id", "block").orderBy("page_order", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("document_id", "block").agg(F.max("heading").alias("h")).select("document_id", "block", F.last("h", ignorenulls=True).over(earlier).alias("carried"))
+    rows = rows.join(carried, ["document_id", "block"], "left").withColumn("current", F.coalesce(F.last("heading", ignorenulls=True).over(within), "carried"))
     hits, n = F.count_if("meta").over(page), F.count_if(paragraph).over(page)
     mostly = hits >= F.greatest(F.lit(2), F.floor(n / 2))
     section = F.coalesce(F.col("current.text"), F.when(F.trim("title") != "", F.col("title")), F.lit("Main text"))
