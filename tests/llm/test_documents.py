@@ -12,7 +12,7 @@ from tests.conftest import rows
 from vellum.llm.mixing import mix, shares
 from vellum.llm.packing import containers, fill_report, pack, sum_of_squares
 from vellum.llm.tokens import encoding, with_tokens
-from vellum.llm.truncation import endings, length_limits, truncated, truncation_rates
+from vellum.llm.truncation import length_limits, truncated, truncation_rates, with_endings
 
 
 @settings(max_examples=60, deadline=None)
@@ -140,7 +140,7 @@ ENDINGS = {
 
 def test_endings(spark):
     df = spark.createDataFrame([(t,) for t in ENDINGS], "t string")
-    for r in df.select("t", *[v.alias(k) for k, v in endings(F.col("t")).items()]).collect():
+    for r in with_endings(df, "t").collect():
         want = ENDINGS[r.t]
         assert (r.unfinished, r.whole) == (want == "unfinished", want == "whole"), r.t
         assert want != "doubtful" or r.doubtful

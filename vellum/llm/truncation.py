@@ -17,35 +17,55 @@ LABEL = r"(?i)^\s*(?:key ?words|tags|index terms|mots[- ]cl[ée]s|schlagw[oö]rt
 
 
 def _count(text: Column, chars: str) -> Column:
-    """How many of ``chars`` the text has."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def measures(text: Column) -> dict[str, Column]:
-    """Lengths of a text under other encodings, escapes and line ends."""
-    chars, utf8 = F.length(text), F.octet_length(text)
-    utf16 = F.octet_length(F.encode(text, "UTF-16BE")) / 2
-    beyond = utf16.cast("int") - chars  # characters of two UTF-16 units
-    latin = F.length(F.regexp_replace(text, "[\\x00-\\x7f]", ""))  # characters beyond ASCII
-    xml = 4 * _count(text, "&") + 3 * _count(text, "<>") + 5 * _count(text, '"') + 5 * _count(text, "'")
-    xml_text = 4 * _count(text, "&") + 3 * _count(text, "<>")
+    """How many of ``chars`` the text has; each is searched for in the bytes, which is faster than to translate."""
+    out = F.lit(0)
+    for c in chars:
+        out = out + F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    return out
+
+
+def with_measures(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``lengths``, an array of ``struct(measure, n)``: the text's length under other encodings, escapes and line ends."""
+    x = F.col(text)
+    chars, utf8 = F.length(x), F.octet_length(x)
+    plain = utf8 == chars  # ASCII alone
+    # worked out once and used by several measures: the optimizer keeps this step apart
+    base = {
+        "_c": chars,
+        "_u": utf8,
+        "_latin": F.when(plain, 0).otherwise(chars - F.length(F.regexp_replace(x, r"[^\x00-\x7f]+", ""))),  # characters beyond ASCII
+        "_far": F.when(plain, 0).otherwise((F.octet_length(F.regexp_replace(x, r"[^\x{10000}-\x{10ffff}]+", "")) / 4).cast("int")),  # of two UTF-16 units
+        "_amp": _count(x, "&"),
+        "_angle": _count(x, "<>"),
+        "_double": _count(x, '"'),
+        "_single": _count(x, "'"),
+        "_lines": _count(x, "\n"),
+        "_short": _count(x, "\\\r\t\b\f"),
+        "_pairs": chars - F.length(F.replace(x, F.lit("\r\n"), F.lit("\n"))),
+        "_control": chars - F.length(F.regexp_replace(x, r"[\x00-\x07\x0b\x0e-\x1f]+", "")),
+    }
+    c, u, latin, far = (F.col(k) for k in ("_c", "_u", "_latin", "_far"))
+    xml_text = 4 * F.col("_amp") + 3 * F.col("_angle")
+    xml = xml_text + 5 * F.col("_double") + 5 * F.col("_single")
     # control characters without a short escape take six
-    json = _count(text, '"\\\n\r\t\b\f') + 5 * (chars - F.length(F.regexp_replace(text, "[\\x00-\\x07\\x0b\\x0e-\\x1f]", "")))
-    crlf = _count(text, "\n") - (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
-    return {
-        "chars": chars,
-        "utf8": utf8,
-        "utf16": utf16.cast("int"),
-        "chars_xml": chars + xml,
-        "chars_xml_text": chars + xml_text,
-        "utf8_xml": utf8 + xml,
-        "utf8_xml_text": utf8 + xml_text,
-        "chars_json": chars + json,
-        "utf8_json": utf8 + json,
-        "ascii_json": chars + json + 5 * latin + 6 * beyond,
-        "chars_crlf": chars + crlf,
-        "utf8_crlf": utf8 + crlf,
+    json = F.col("_double") + F.col("_lines") + F.col("_short") + 5 * F.col("_control")
+    crlf = F.col("_lines") - F.col("_pairs")
+    measures = {
+        "chars": c,
+        "utf8": u,
+        "utf16": c + far,
+        "chars_xml": c + xml,
+        "chars_xml_text": c + xml_text,
+        "utf8_xml": u + xml,
+        "utf8_xml_text": u + xml_text,
+        "chars_json": c + json,
+        "utf8_json": u + json,
+        "ascii_json": c + json + 5 * latin + 6 * far,
+        "chars_crlf": c + crlf,
+        "utf8_crlf": u + crlf,
     }
+    lengths = F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("long").alias("n")) for k, v in measures.items()])
+    return df.withColumns(base).withColumn("lengths", lengths).drop(*base)
 
 
 def length_limits(df: DataFrame, source: Column, text: Column, *, least: int = 3, reach: int = 50, sigmas: float = 6.0) -> DataFrame:
@@ -56,8 +76,8 @@ def length_limits(df: DataFrame, source: Column, text: Column, *, least: int = 3
     ``least`` and ``sigmas`` standard deviations more than the lengths within ``reach`` would have it. Null sources form a source of their own; null and blank texts don't count.
     """
     named = df.select(source.alias("source"), text.alias("text")).where("trim(text) <> ''")
-    m = measures(F.col("text"))
-    once = named.select("source", F.xxhash64("text").alias("h"), F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("long").alias("n")) for k, v in m.items()]).alias("m")).dropDuplicates(["source", "h"])
+    # copies of a text count once; only hashes and lengths are moved
+    once = with_measures(named, "text").select("source", F.xxhash64("text").alias("h"), F.col("lengths").alias("m")).dropDuplicates(["source", "h"])
     # counts are combined before the shuffle; what is left has a row a length
     counts = once.select("source", F.explode("m").alias("m")).groupBy("source", "m.measure", "m.n").agg(F.count("*").alias("texts"))
     w = Window.partitionBy("source", "measure").orderBy("n")
@@ -73,24 +93,32 @@ def length_limits(df: DataFrame, source: Column, text: Column, *, least: int = 3
     )
 
 
-def endings(text: Column) -> dict[str, Column]:
-    """How a text ends: ``finished``, ``unfinished`` prose, ``whole`` (title, list, table, keyword or shelfmark line), ``doubtful``."""
-    blank = F.lit(BLANK)
-    body, start = F.rtrim(text, blank), F.trim(text, blank)
-    last = F.substring_index(F.translate(body, "\r", "\n"), "\n", -1)
-    tail = F.right(last, F.lit(80))  # longer than any of the marks looked for
+def with_endings(df: DataFrame, text: str) -> DataFrame:
+    """Adds how a text ends: ``unfinished`` prose, ``whole`` (title, list, table, keyword or shelfmark line), ``doubtful``; and ``blank``. Null and blank texts are none of the first three."""
+    edge = {"_body": F.rtrim(F.col(text), F.lit(BLANK)), "_start": F.ltrim(F.col(text), F.lit(BLANK))}
+    body, start = F.col("_body"), F.col("_start")
+    ends = {"_last": F.substring_index(F.substring_index(body, "\n", -1), "\r", -1), "_n": F.length(F.ltrim(body, F.lit(BLANK)))}
+    last, tail = F.col("_last"), F.right(F.col("_last"), F.lit(80))  # longer than any of the marks looked for
     omitted = tail.rlike(r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…|more|cont[^\]]{0,20})\s*\]|\(\s*(?:\.\.\.|…|more|cont[^)]{0,20})\s*\))$")
     stop = tail.rlike(r"[.!?。]" + CLOSING + "$") & ~omitted
     abbreviated = tail.rlike(r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.$")
     # a number that may have lost its decimals
     number = tail.rlike(r"(?:^|[^\p{N}.,])\p{N}+\.$")
     line = last.rlike(r"^\s*(?:[-*•–—·]|\(?\p{N}{1,3}[.)]|\(?[a-z]\))\s") | last.contains("\t") | last.rlike(r"^\s*\|") | last.rlike(LABEL)
-    title = (F.length(start) <= 120) & ~start.rlike(r"[\n\r]") & ~start.rlike(r"[.!?;,:]\s") & (F.size(F.split(start, r"(?U)\s+")) <= 12)
-    return {
+    head = F.rtrim(F.left(start, F.lit(400)), F.lit(BLANK))
+    # a text of that length is all in its head
+    title = (F.col("_n") <= 120) & ~head.rlike(r"[\n\r]") & ~head.rlike(r"[.!?;,:]\s") & (F.size(F.split(head, r"(?U)\s+")) <= 12)
+    marks = {"_omitted": omitted, "_stop": stop, "_short": abbreviated, "_number": number, "_line": line, "_title": title}
+    omitted, stop, abbreviated, number, line, title = (F.col(k) for k in marks)
+    judged = {
         "whole": ~omitted & ~stop & (line | title),
         "unfinished": omitted | abbreviated | (~stop & ~line & ~title),
         "doubtful": (stop & number & ~abbreviated) | (~omitted & ~stop & title & ~line),
     }
+    full = F.coalesce(F.col("_n") > 0, F.lit(False))
+    out = df.withColumns(edge).withColumns(ends).withColumns(marks)
+    out = out.withColumns({"blank": ~full, **{k: full & F.coalesce(v, F.lit(False)) for k, v in judged.items()}})
+    return out.drop(*edge, *ends, *marks)
 
 
 def truncated(df: DataFrame, item_id: Column, source: Column, text: Column) -> DataFrame:
@@ -102,11 +130,8 @@ def truncated(df: DataFrame, item_id: Column, source: Column, text: Column) -> D
     """
     rows = df.select(item_id.alias("item_id"), source.alias("source"), text.alias("text"))
     limits = length_limits(rows, F.col("source"), F.col("text")).groupBy("source").agg(F.array_distinct(F.collect_list(F.concat_ws("=", "measure", F.col("limit").cast("string")))).alias("limits"))
-    e = endings(F.col("text"))
-    blank = F.coalesce(F.trim(F.col("text"), F.lit(BLANK)) == "", F.lit(True))
-    lengths = F.array(*[F.concat_ws("=", F.lit(name), v.cast("string")) for name, v in measures(F.col("text")).items()])
     # what meets the limits has lengths and marks, but no texts
-    judged = rows.select("item_id", "source", (~blank & F.coalesce(e["unfinished"], F.lit(False))).alias("unfinished"), (~blank & F.coalesce(e["doubtful"], F.lit(False))).alias("doubtful"), F.when(~blank, lengths).alias("lengths"))
+    judged = with_endings(with_measures(rows, "text"), "text").select("item_id", "source", "unfinished", "doubtful", F.when(~F.col("blank"), F.transform("lengths", lambda m: F.concat_ws("=", m["measure"], m["n"].cast("string")))).alias("lengths"))
     k = F.coalesce(F.col("source"), F.lit("\x00"))
     at = F.coalesce(F.arrays_overlap("limits", "lengths"), F.lit(False))
     # limits: a row a source
