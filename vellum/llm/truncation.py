@@ -24,8 +24,16 @@ def _count(text: Column, chars: str) -> Column:
     return out
 
 
+#: Ways of counting a text's length.
+MEASURES = ("chars", "utf8", "utf16", "chars_xml", "chars_xml_text", "utf8_xml", "utf8_xml_text", "chars_json", "utf8_json", "ascii_json", "chars_crlf", "utf8_crlf")
+
+
+def _measure(place: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in MEASURES]), place + 1)
+
+
 def with_measures(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``lengths``, an array of ``struct(measure, n)``: the text's length under other encodings, escapes and line ends."""
+    """Adds ``lengths``: the text's length under other encodings, escapes and line ends, in the order of ``MEASURES``."""
     x = F.col(text)
     chars, utf8 = F.length(x), F.octet_length(x)
     plain = utf8 == chars  # ASCII alone
@@ -64,7 +72,7 @@ def with_measures(df: DataFrame, text: str) -> DataFrame:
         "chars_crlf": c + crlf,
         "utf8_crlf": u + crlf,
     }
-    lengths = F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("long").alias("n")) for k, v in measures.items()])
+    lengths = F.array(*[measures[k].cast("long") for k in MEASURES])
     return df.withColumns(base).withColumn("lengths", lengths).drop(*base)
 
 
@@ -79,7 +87,7 @@ def length_limits(df: DataFrame, source: Column, text: Column, *, least: int = 3
     # copies of a text count once; only hashes and lengths are moved
     once = with_measures(named, "text").select("source", F.xxhash64("text").alias("h"), F.col("lengths").alias("m")).dropDuplicates(["source", "h"])
     # counts are combined before the shuffle; what is left has a row a length
-    counts = once.select("source", F.explode("m").alias("m")).groupBy("source", "m.measure", "m.n").agg(F.count("*").alias("texts"))
+    counts = once.select("source", F.posexplode("m").alias("place", "n")).groupBy("source", _measure(F.col("place")).alias("measure"), "n").agg(F.count("*").alias("texts"))
     w = Window.partitionBy("source", "measure").orderBy("n")
     near, wide = w.rangeBetween(-3, 0), w.rangeBetween(-reach, reach)
     around = F.sum("texts").over(wide) - F.sum("texts").over(w.rangeBetween(-3, 3))
@@ -131,9 +139,10 @@ def truncated(df: DataFrame, item_id: Column, source: Column, text: Column) -> D
     rows = df.select(item_id.alias("item_id"), source.alias("source"), text.alias("text"))
     limits = length_limits(rows, F.col("source"), F.col("text")).groupBy("source").agg(F.array_distinct(F.collect_list(F.concat_ws("=", "measure", F.col("limit").cast("string")))).alias("limits"))
     # what meets the limits has lengths and marks, but no texts
-    judged = with_endings(with_measures(rows, "text"), "text").select("item_id", "source", "unfinished", "doubtful", F.when(~F.col("blank"), F.transform("lengths", lambda m: F.concat_ws("=", m["measure"], m["n"].cast("string")))).alias("lengths"))
+    judged = with_endings(with_measures(rows, "text"), "text").select("item_id", "source", "unfinished", "doubtful", F.when(~F.col("blank"), F.col("lengths")).alias("lengths"))
     k = F.coalesce(F.col("source"), F.lit("\x00"))
-    at = F.coalesce(F.arrays_overlap("limits", "lengths"), F.lit(False))
+    own = F.transform("lengths", lambda n, i: F.concat_ws("=", _measure(i), n.cast("string")))
+    at = F.coalesce(F.arrays_overlap("limits", own), F.lit(False))
     # limits: a row a source
     joined = judged.withColumn("k", k).join(limits.select(k.alias("k"), "limits"), "k", "left")
     return joined.select("item_id", "source", (F.col("unfinished") | (F.col("doubtful") & at)).alias("truncated"), at.alias("at_limit"))
