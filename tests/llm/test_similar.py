@@ -68,3 +68,11 @@ def test_forest_covers_every_vector():
     assert found.shape == (3000, 8)
     assert all(len(set(r)) == 8 for r in found.tolist())
     assert np.unique(found[:, 0], return_counts=True)[1].max() < 3000 / 4
+
+
+def test_size_of_the_forest_is_bound_by_the_sample():
+    x = clustered(4000, 16)
+    small = Forest(x[:50], 10**9, 3, 128, 1)
+    assert small.depth == 23 and sum(t.nbytes for t in small.thresholds) <= 3 * 4 * 128
+    found = small.leaves(x, 4)
+    assert all(len(set(r)) == 4 for r in found.tolist()) and len(np.unique(found[:, 0])) > 1000

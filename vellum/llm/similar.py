@@ -57,17 +57,22 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 class Forest:
-    """Trees with one random direction a level and a median threshold a node."""
+    """Trees with one random direction a level and a median threshold a node.
+
+    Thresholds are kept for as many levels as the sample can tell apart, so the size is bounded by the
+    sample, not by the data; below them, nodes part at zero.
+    """
 
     def __init__(self, sample: np.ndarray, n: int, trees: int, leaf: int, seed: int):
         rng = np.random.default_rng(seed)
         self.depth = max(0, round(np.log2(max(1, n) / leaf)))
+        kept = min(self.depth, max(1, len(sample)).bit_length())
         self.directions, self.thresholds = [], []
         for _ in range(trees):
             d = rng.normal(size=(sample.shape[1], self.depth)).astype("f4")
-            p, thr = sample @ d, np.zeros(2 << self.depth, "f4")
+            p, thr = sample @ d[:, :kept], np.zeros(1 << kept, "f4")
             node = np.ones(len(sample), "i8")
-            for level in range(self.depth):
+            for level in range(kept):
                 order = np.lexsort((p[:, level], node))
                 ends = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
                 size = np.diff(ends)
@@ -91,7 +96,7 @@ class Forest:
         r = np.arange(n)
         room = trees + probes * depth
         margin = np.full((n, room), -np.inf, "f4")
-        tree, node, level = np.zeros((n, room), "i2"), np.zeros((n, room), "i4"), np.zeros((n, room), "i1")
+        tree, node, level = np.zeros((n, room), "i2"), np.zeros((n, room), "i8"), np.zeros((n, room), "i1")
         margin[:, :trees], tree[:, :trees], node[:, :trees] = np.inf, np.arange(trees), 1
         used, out = trees, np.empty((n, probes), "i8")
         for i in range(probes):
@@ -100,7 +105,7 @@ class Forest:
             margin[r, j] = -np.inf
             for k in range(depth):
                 on = start <= k
-                m = p[t, r, k] - thr[t, at]
+                m = p[t, r, k] - np.where(at < thr.shape[1], thr[t, np.minimum(at, thr.shape[1] - 1)], 0)
                 right = m >= 0
                 margin[:, used] = np.where(on, np.minimum(best, -np.abs(m)), -np.inf)
                 tree[:, used], node[:, used], level[:, used] = t, 2 * at + ~right, k + 1
@@ -119,15 +124,16 @@ def _in_leaves(dim: int, k: int, block: int):
         n, kk = len(c), min(k, len(c) - 1)
         if kk < 1:
             return
-        for lo in range(0, n, block):
-            s = x[lo : lo + block] @ x.T
+        step = max(1, min(block, (1 << 24) // n))  # 64 MB of similarities at a time
+        for lo in range(0, n, step):
+            s = x[lo : lo + step] @ x.T
             q = np.arange(len(s))
             s[q, lo + q] = -np.inf
             top = np.argpartition(s, n - kk, axis=1)[:, n - kk :] if kk < n else s.argsort(axis=1)
             cos = np.take_along_axis(s, top, axis=1)
             ends = pa.array(np.arange(len(s) + 1, dtype="i4") * kk)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[lo : lo + block]), pa.ListArray.from_arrays(ends, pa.array(c[top].ravel())), pa.ListArray.from_arrays(ends, pa.array(cos.ravel()))],
+                [pa.array(c[lo : lo + len(s)]), pa.ListArray.from_arrays(ends, pa.array(c[top].ravel())), pa.ListArray.from_arrays(ends, pa.array(cos.ravel()))],
                 names=["c", "near", "cos"],
             )
 
@@ -160,7 +166,7 @@ def nearest(classes: DataFrame, dim: int, k: int, trees: int, leaf: int, probes:
     sample = classes.where(F.pmod(F.xxhash64("c"), F.lit(1 << 31)) < share).limit(fit_rows).select("v").toArrow().column(0).combine_chunks()
     x = _matrix(sample, dim) if n else np.empty((0, dim), "f4")
     forest = Forest(x, n, trees, leaf, seed)
-    shared = spark.sparkContext.broadcast(forest)  # at most as large as the sample times the number of trees
+    shared = spark.sparkContext.broadcast(forest)  # no larger than trees times (directions + the sample)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
