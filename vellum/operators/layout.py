@@ -60,33 +60,43 @@ def document_blocks(pages: DataFrame) -> DataFrame:
     A page of which half the paragraphs, and two at least, are publisher's
     matter is metadata as a whole. Null and blank pages give nothing; a page must occur once.
     """
-    doc = Window.partitionBy("document_id")
     base = pages.select("document_id", "title", "page_order", "page_number", "captions", markdown_units(F.col("text")).alias("units"))
     units = base.select("document_id", "title", "page_order", "page_number", F.posexplode("units").alias("pos", "u")).select("*", "u.kind", "u.text", "u.level").drop("u")
-    units = units.withColumn("direct", F.when(F.col("kind") == "heading", heading_type(F.col("text"))))
-
-    # ancestry among headings alone, a small part of the rows
-    before = doc.orderBy("page_order", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    heads = units.where("kind = 'heading'").withColumn("at", F.struct("page_order", "pos"))
-    for n in range(1, 7):
-        heads = heads.withColumn(f"l{n}", F.last(F.when(F.col("level") == n, F.struct("at", "direct")), ignorenulls=True).over(before))
-    resolved = F.when(F.col("direct") != "body", F.col("direct"))
-    for n in range(6, 0, -1):
-        open_ = F.lit(True)
-        for m in range(1, n):
-            open_ = open_ & F.coalesce(F.col(f"l{m}.at") < F.col(f"l{n}.at"), F.lit(True))
-        resolved = F.coalesce(resolved, F.when((F.col("level") > n) & open_ & F.col(f"l{n}.direct").isin(*INHERITED), F.col(f"l{n}.direct")))
-    heads = heads.select("document_id", "page_order", "pos", F.coalesce(resolved, F.lit("body")).alias("kind_of_heading"))
-
-    rows = units.join(heads, ["document_id", "page_order", "pos"], "left")
-    page = Window.partitionBy("document_id", "page_order")
     paragraph = F.col("kind") == "paragraph"
-    rows = rows.withColumns({"meta": paragraph & looks_like_metadata(F.col("text")), "block": F.floor(F.col("page_order") / PAGE_BLOCK), "heading": F.when(~paragraph, F.struct("page_order", "pos", "text", "kind_of_heading"))})
-    # the heading that a paragraph stands under: within its block of pages, else the last of the blocks before
-    within = Window.partitionBy("document_id", "block").orderBy("page_order", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.struct("page_order", "pos", "level", "text", F.when(~paragraph, heading_type(F.col("text"))).alias("direct"))
+    units = units.withColumns({"block": F.floor(F.col("page_order") / PAGE_BLOCK), "heading": F.when(~paragraph, here)})
+
+    # the last heading of each level in the blocks before: a row a block of pages
     earlier = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy("document_id", "block").agg(F.max("heading").alias("h")).select("document_id", "block", F.last("h", ignorenulls=True).over(earlier).alias("carried"))
-    rows = rows.join(carried, ["document_id", "block"], "left").withColumn("current", F.coalesce(F.last("heading", ignorenulls=True).over(within), "carried"))
+    levels = range(1, 7)
+    lasts = units.groupBy("document_id", "block").agg(*[F.max(F.when(F.col("level") == n, F.col("heading"))).alias(f"m{n}") for n in levels])
+    carried = lasts.select("document_id", "block", *[F.last(f"m{n}", ignorenulls=True).over(earlier).alias(f"c{n}") for n in levels])
+
+    # all windows below share one partitioning and, but for the page's, one order
+    of_block = Window.partitionBy("document_id", "block").orderBy("page_order", "pos")
+    before, upto = of_block.rowsBetween(Window.unboundedPreceding, -1), of_block.rowsBetween(Window.unboundedPreceding, 0)
+    rows = units.join(carried, ["document_id", "block"], "left")
+    rows = rows.withColumns({f"l{n}": F.coalesce(F.last(F.when(F.col("level") == n, F.col("heading")), ignorenulls=True).over(before), F.col(f"c{n}")) for n in levels})
+
+    def at(h: Column) -> Column:
+        return F.struct(h["page_order"], h["pos"])
+
+    def kind_under(h: Column, above: str) -> Column:
+        """The type of heading ``h`` when the last headings of each level are ``above``1 to 6; those a higher one has closed don't count."""
+        kind = F.when(h["direct"] != "body", h["direct"])
+        for n in reversed(levels):
+            x, open_ = F.col(f"{above}{n}"), F.lit(True)
+            for m in range(1, n):
+                open_ = open_ & F.coalesce(at(F.col(f"{above}{m}")) < at(x), F.lit(True))
+            kind = F.coalesce(kind, F.when((h["level"] > n) & open_ & x["direct"].isin(*INHERITED), x["direct"]))
+        return F.when(h.isNotNull(), F.struct(h["text"].alias("text"), F.coalesce(kind, F.lit("body")).alias("kind_of_heading")))
+
+    rows = rows.withColumn("own", kind_under(F.col("heading"), "l"))
+    # the heading that the block begins under is the last of those carried
+    start = F.greatest(*[F.col(f"c{n}") for n in levels])
+    rows = rows.withColumn("current", F.coalesce(F.last("own", ignorenulls=True).over(upto), kind_under(start, "c")))
+    rows = rows.withColumn("meta", paragraph & looks_like_metadata(F.col("text")))
+    page = Window.partitionBy("document_id", "block", "page_order")
     hits, n = F.count_if("meta").over(page), F.count_if(paragraph).over(page)
     mostly = hits >= F.greatest(F.lit(2), F.floor(n / 2))
     section = F.coalesce(F.col("current.text"), F.when(F.trim("title") != "", F.col("title")), F.lit("Main text"))

@@ -304,7 +304,7 @@ def gen2_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "parsed_document").groupBy("document_id").agg(F.max("sha256").alias("sha256"))
     segs = segments(_blocks(spark, sf))
-    named = segs.select("document_id").distinct().join(docs, "document_id", "left")
+    named = table(spark, sf, "page_content").select("document_id").where("document_id is not null").distinct().join(docs, "document_id", "left")
     return assemble_chunks(segs, named)
 
 
