@@ -686,7 +686,7 @@ m AS (SELECT query_id, terms, list_filter(terms, lambda t: list_contains(words,
 gate AS (SELECT query_id, NOT (len(anchors) > 0 AND len(list_intersect(anchors, matched)) = 0) AND NOT (len(terms) > 0 AND len(matched) = 0) AS ok FROM m),
 a AS (SELECT v.query_id, bool_and(ev.source_id IS NOT NULL) AS cited, count(*) <= 24 AND bool_and(v = 0) AS supported, coalesce(bool_or(v = 0), false) AS any_kept,
   string_agg(s || ' ' || coalesce('[' || filename || CASE WHEN page_start = page_end THEN ', p. ' || page_start ELSE ', pp. ' || page_start || '-' || page_end END || ']', '[' || mark || ']') || '.', chr(10) || chr(10) ORDER BY n) AS whole,
-  string_agg({_strip("s || ' '")} || ' ' || coalesce('[' || filename || CASE WHEN page_start = page_end THEN ', p. ' || page_start ELSE ', pp. ' || page_start || '-' || page_end END || ']', '[' || mark || ']') || '.', chr(10) || chr(10) ORDER BY n) FILTER (v = 0) AS part
+  string_agg(ltrim(s, {BLANK_SQL}) || ' ' || coalesce('[' || filename || CASE WHEN page_start = page_end THEN ', p. ' || page_start ELSE ', pp. ' || page_start || '-' || page_end END || ']', '[' || mark || ']') || '.', chr(10) || chr(10) ORDER BY n) FILTER (v = 0) AS part
   FROM verdicts v LEFT JOIN ev ON ev.query_id = v.query_id AND ev.source_id = v.mark GROUP BY v.query_id),
 o AS (SELECT query_id, CASE WHEN NOT coalesce(ok, false) THEN 'insufficient evidence' WHEN query_id % 11 = 0 THEN 'not generated' WHEN NOT cited THEN 'citations invalid' WHEN supported THEN 'answered' WHEN any_kept THEN 'answered in part' ELSE 'claims not supported' END AS outcome, whole, part FROM a LEFT JOIN gate USING (query_id))
 SELECT query_id, outcome, CASE outcome WHEN 'answered' THEN whole WHEN 'answered in part' THEN part END AS answer FROM o
