@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm.neardup import Pivots, group_pairs, limit, near_duplicates
+from vellum.llm.neardup import Pivots, _large, group_pairs, limit, near_duplicates
 from vellum.llm.words import WordHashes, shingles, words
 
 SCHEMA = "kind string, id string, text string, fp string"
@@ -81,6 +81,36 @@ def test_a_third_of_one_family(spark):
     assert {r.links for r in g if r.id.startswith("x")} == {0}  # one text
 
 
+def test_links_of_a_large_family(spark):
+    """Links are counted against brute force, also inside groups that meet in large buckets only."""
+    rnd, data = random.Random(8), []
+    for f, n in (("p", 90), ("q", 70)):
+        base = [f"{f}{i}" for i in range(80)]
+        for c in range(n):
+            ws = list(base)
+            for p in rnd.sample(range(80), rnd.randint(1, 2)):
+                ws[p] = f"new{c}"
+            data.append(("chunk", f"{f}{c:03d}", " ".join(ws), ""))
+    sets = {i: {tuple(ws[j : j + 3]) for j in range(len(ws) - 2)} for _, i, text, _ in data for ws in [words(text)]}
+    want = {a: sum(a != b and len(x & y) >= 0.6 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    df = spark.createDataFrame(data, SCHEMA)
+    for small in (64, 3):
+        keys = {"size": 3, "threshold": 0.6, "min_words": 40, "bands": 60, "rows": 5, "small": small}
+        got = near_duplicates(df, F.col("kind"), F.col("id"), F.col("text"), **keys).collect()
+        assert {r.id: r.links for r in got} == want and len(got) == len(data)
+        bare = near_duplicates(df, F.col("kind"), F.col("id"), F.col("text"), count_links=False, **keys)
+        assert bare.columns == ["kind", "id", "group_id"] and {tuple(r) for r in bare.collect()} == {(r.kind, r.id, r.group_id) for r in got}
+
+
+def test_pairs_of_large_buckets_in_blocks(spark):
+    buckets = {1: range(30), 2: range(20, 45), 3: [3, 50]}
+    stars = [(m[0], b, big) for big, m in buckets.items() for b in m[1:]] + [(7, 60, None)]
+    want = sorted({(a, b) for m in buckets.values() for a in m for b in m if a < b})
+    df = spark.createDataFrame(stars, "a long, b long, big long")
+    for block in (4, 1024):
+        assert sorted(tuple(r) for r in _large(df, block).collect()) == want
+
+
 def test_defaults_and_empty(spark):
     df = spark.createDataFrame(made(10, 9, 0), SCHEMA)
     got = near_duplicates(df, F.col("kind"), F.col("id"), F.col("text"))

@@ -22,7 +22,7 @@ from vellum.llm.words import WordHashes, mix, shingles, words
 from vellum.operators.components import connected_components
 from vellum.plans.shared import written
 
-#: Members of a band's bucket up to which all pairs are candidates at once; larger buckets are linked to their first member and across groups.
+#: Members of a band's bucket up to which all pairs are candidates at once; pairs of larger buckets are made in blocks, and only across groups where links aren't counted.
 SMALL_BUCKET = 64
 
 
@@ -214,6 +214,22 @@ def _links(pairs: DataFrame, records: DataFrame, threshold: float, sigmas: float
     return survivors.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb").mapInArrow(_verify(threshold), "a long, b long, similarity double")
 
 
+def _large(pairs: DataFrame, block: int = 1024) -> DataFrame:
+    """``a < b``: all pairs of members of the buckets named in ``big``, each once.
+
+    A bucket's members are dealt to blocks of about ``block``, and each two blocks meet under
+    a key of their own. A pair stays with the least of the large buckets it shares, which are no more than the bands.
+    """
+    member = written(pairs.where("big is not null").select("big", F.explode(F.array("a", "b")).alias("fp")).distinct(), "near-large")
+    blocks = member.groupBy("big").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    shared = member.groupBy("fp").agg(F.collect_list("big").alias("bigs"))
+    dealt = member.join(blocks, "big").join(shared, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    x = dealt.select("big", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("fp").alias("x"), F.col("bigs").alias("xs"))
+    y = dealt.select("big", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("fp").alias("y"), F.col("bigs").alias("ys"))
+    met = x.join(y, ["big", "i", "j"]).where("(i < j or x < y) and array_min(array_intersect(xs, ys)) = big")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicates(
     df: DataFrame,
     kind: Column,
@@ -228,6 +244,7 @@ def near_duplicates(
     pivots: int = 64,
     sigmas: float = 5.0,
     small: int = SMALL_BUCKET,
+    count_links: bool = True,
 ) -> DataFrame:
     """``kind, id, group_id, links``: each record's closed group of near copies.
 
@@ -237,7 +254,9 @@ def near_duplicates(
     texts and null ids don't. Repeated rows of an id count once, if their texts
     differ the one with the greatest fingerprint does. Equal texts share one
     record through the search. ``links``: number of different other texts in the
-    group's links of this text. ``group_id`` is the least fingerprint of the group.
+    group's links of this text; for it all pairs of large buckets are tested, too. Without
+    ``count_links`` there is no such column, and large buckets are tested only as far
+    as groups need it. ``group_id`` is the least fingerprint of the group.
 
     A pair at similarity s becomes a candidate with probability
     1 - (1 - s**rows)**bands; the pivots then lose one at the threshold with a
@@ -247,8 +266,10 @@ def near_duplicates(
     records = written(source.mapInArrow(_records(size, min_words, Pivots(pivots)), "kind string, id string, fp long, n int, runs binary, pivots binary"), "near-records")
     banded = records.select("kind", "fp", "runs").mapInArrow(_bands(bands, rows), "band long, fp long")
     pairs = written(banded.repartition("band").sortWithinPartitions("band", "fp").mapInArrow(_pairs(small), "a long, b long, big long"), "near-pairs")
-    links = written(_links(pairs.select("a", "b").distinct(), records, threshold, sigmas), "near-links")
-    if pairs.where("big is not null").limit(1).count():
+    large = pairs.where("big is not null").limit(1).count() > 0
+    candidates = pairs.where("big is null").select("a", "b").unionByName(_large(pairs)) if large and count_links else pairs.select("a", "b")
+    links = written(_links(candidates.distinct(), records, threshold, sigmas), "near-links")
+    if large and not count_links:
         # in large buckets, all pairs between records that are not yet in one group
         group = connected_components(links)
         inside = pairs.where("big is not null")
@@ -262,13 +283,12 @@ def near_duplicates(
         cross = x.join(y, ["big", "block"]).where("ca <> cb and a < b").select("a", "b").distinct()
         links = written(links.unionByName(_links(cross, records, threshold, sigmas)).dropDuplicates(["a", "b"]), "near-links")
     group = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
     one = records.groupBy("kind", "id").agg(F.max("fp").alias("fp"))
-    return (
-        one.join(group.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .join(degree, "fp", "left")
-        .select("kind", "id", F.coalesce("component", "fp").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    grouped = one.join(group.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "kind", "id", F.coalesce("component", "fp").alias("group_id"))
+    if not count_links:
+        return grouped.drop("fp")
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
+    return grouped.join(degree, "fp", "left").select("kind", "id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -57,18 +57,18 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.unionByName(table(spark, sf, "evidence_item").select(F.lit("evidence").alias("item_kind"), F.col("evidence_id").alias("item_id"), "text"))
 
 
-def _recurring(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates(_passages(spark, sf), F.col("item_kind"), F.col("item_id"), F.col("text"), size=3, threshold=0.6, min_words=40, bands=60, rows=5)
+def _recurring(spark: SparkSession, sf: str, count_links: bool) -> DataFrame:
+    return near_duplicates(_passages(spark, sf), F.col("item_kind"), F.col("item_id"), F.col("text"), size=3, threshold=0.6, min_words=40, bands=60, rows=5, count_links=count_links)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of records of one kind whose passages recur with small edits."""
-    return group_pairs(_recurring(spark, sf)).withColumnRenamed("kind", "item_kind")
+    return group_pairs(_recurring(spark, sf, False)).withColumnRenamed("kind", "item_kind")
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Each record with its group and number of links."""
-    return _recurring(spark, sf).withColumnsRenamed({"kind": "item_kind", "id": "item_id"})
+    return _recurring(spark, sf, True).withColumnsRenamed({"kind": "item_kind", "id": "item_id"})
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
