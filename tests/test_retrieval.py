@@ -129,6 +129,13 @@ def test_evidence(spark):
     assert select_evidence(df.where("1 = 0"), 8, 90).count() == 0
 
 
+def test_evidence_of_any_rank(spark):
+    """Candidates beyond rank 36 count when those before them are too short, unless a pool is asked for."""
+    df = spark.createDataFrame([cand(1, r, f"c{r:02d}", "tiny" if r < 40 else f"text {r} " + "word " * 30) for r in range(1, 43)], "query_id int, rank int, chunk_id string, text string, filename string")
+    assert sorted((r.source_id, r.chunk_id) for r in select_evidence(df, 2, 500).collect()) == [("S1", "c40"), ("S2", "c41")]
+    assert select_evidence(df, 2, 500, pool=36).count() == 0
+
+
 def test_gate(spark):
     q = spark.createDataFrame([(1, "How does tissue shape?"), (2, "What is IL-6 in tissue?"), (3, "Chocolate cake?"), (4, "is it"), (5, "Loss of IL-6 and BRM014?")], "query_id int, question string")
     e = spark.createDataFrame([(1, "The tissue bends."), (2, "tissue only"), (3, "tissue"), (5, "il-6 was lost"), (5, None)], "query_id int, text string")

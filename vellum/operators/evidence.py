@@ -27,17 +27,19 @@ def without_repeats(candidates: DataFrame, *, least: int = 120) -> DataFrame:
     return first.drop("text").join(texts, ["query_id", "chunk_id"])
 
 
-def select_evidence(candidates: DataFrame, k: int, budget: int, *, least_tokens: int = 20, pool: int = 36) -> DataFrame:
+def select_evidence(candidates: DataFrame, k: int, budget: int, *, least_tokens: int = 20, pool: int | None = None) -> DataFrame:
     """[EVD2, EVD3] At most k candidates a query within a budget of tokens, with ``source_id`` 'S1'… and ``token_count``.
 
     After repeats are removed, texts under ``least_tokens`` drop out. The rest are taken by rank
     as long as they fit; one that doesn't is passed over, a later smaller one may fit. Candidates of one
-    query are as many as the search gave; those within the first ``pool`` ranks are folded.
+    query are as many as the search gave, and all are folded; ``pool`` leaves out those of greater rank.
     """
     if k <= 0 or budget <= 0:
         raise ValueError("k and budget must be positive")
-    sized = without_repeats(candidates).withColumn("token_count", count_tokens(F.col("text"))).where((F.col("token_count") >= least_tokens) & (F.col("rank") <= pool))
-    # a pool is bounded, so a query's list is
+    sized = without_repeats(candidates).withColumn("token_count", count_tokens(F.col("text"))).where(F.col("token_count") >= least_tokens)
+    if pool is not None:
+        sized = sized.where(F.col("rank") <= pool)
+    # a search gives a bounded number of candidates, so a query's list is bounded
     lists = sized.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.col("token_count").cast("long").alias("n")))).alias("c"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
 

@@ -571,7 +571,7 @@ SELECT query_id, 'S' || kept AS source_id, walk.chunk_id, n AS token_count FROM
 @query("evd2_budget_select", EVD2_SQL)
 def evd2_budget_select(spark: SparkSession, sf: str) -> DataFrame:
     """EVD2, EVD3: at most eight pieces of evidence within 2,000 tokens."""
-    return select_evidence(_candidates(spark, sf), 8, 2000).select("query_id", "source_id", "chunk_id", "token_count")
+    return select_evidence(_candidates(spark, sf), 8, 2000, pool=36).select("query_id", "source_id", "chunk_id", "token_count")
 
 
 @query(
