@@ -69,3 +69,13 @@ def test_console(store, capsys):
     assert "a.pdf" in out and "chunks" in out and "done" in out
     with pytest.raises(SystemExit):
         main(["search", store.root, " "])
+
+
+def test_console_prints_all_rows(spark, tmp_path, capsys):
+    """More than 1,000 documents come out whole and in order."""
+    schema = "document_id string, text string, raw_text string, toc_items array<string>, page_boxes array<string>, captions array<string>"
+    n = 1005
+    spark.createDataFrame([(f"d{i:04d}", "x", "xy", None, None, None) for i in range(n)], schema).write.parquet(str(tmp_path / "pages"))
+    main(["pages", str(tmp_path / "pages")])
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].split("\t")[:2] == ["document_id", "pages"] and [x.split("\t")[0] for x in lines[1:]] == [f"d{i:04d}" for i in range(n)]

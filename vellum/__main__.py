@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import format_pages, preview
@@ -15,6 +15,13 @@ from vellum.sources.library import document_statistics, scan_library
 from vellum.sources.store import Store
 
 
+def _print_all(df: DataFrame) -> None:
+    """All rows below their names, parted by tabs; a partition at a time comes to the driver."""
+    print(*df.columns, sep="\t")
+    for row in df.toLocalIterator():
+        print(*("" if x is None else x for x in row), sep="\t")
+
+
 def main(argv: list[str] | None = None) -> None:
     """[CLI2, CLI4, CLI6] search, plan, compact, chunks, pages."""
     p = argparse.ArgumentParser(prog="vellum", description=__doc__)
@@ -48,12 +55,12 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "plan":
         plan = sync_plan(scan_library(spark, a.root), document_state(Store(spark, a.store).open()))
         plan.groupBy("status").count().orderBy("status").show()
-        plan.where("status <> 'UNCHANGED'").select("status", "normalized_path").orderBy("status", "normalized_path").show(1000, truncate=False)
+        _print_all(plan.where("status <> 'UNCHANGED'").select("status", "normalized_path").orderBy("status", "normalized_path"))
     elif a.command == "compact":
         print(Store(spark, a.store).compact(a.files) or "done")
     else:
         table = spark.read.parquet(a.table)
-        (chunk_statistics(table) if a.command == "chunks" else document_statistics(table)).show(1000, truncate=False)
+        _print_all(chunk_statistics(table) if a.command == "chunks" else document_statistics(table).orderBy("document_id"))
 
 
 if __name__ == "__main__":
