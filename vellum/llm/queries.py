@@ -58,7 +58,7 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recurring(spark: SparkSession, sf: str, count_links: bool) -> DataFrame:
-    return near_duplicates(_passages(spark, sf), F.col("item_kind"), F.col("item_id"), F.col("text"), size=3, threshold=0.6, min_words=40, bands=60, rows=5, count_links=count_links)
+    return near_duplicates(_passages(spark, sf), F.col("item_kind"), F.col("item_id"), F.col("text"), size=3, threshold=0.6, min_words=40, bands=36, rows=4, count_links=count_links)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,6 +154,13 @@ edges AS (SELECT c.item_kind, a, b FROM common c JOIN sizes x ON x.item_kind = c
 reach AS (SELECT * FROM edges UNION SELECT r.item_kind, r.a, e.b FROM reach r JOIN edges e ON e.item_kind = r.item_kind AND e.a = r.b)
 """
 
+# texts with the same runs are one: of links to them the least id counts
+_LINKS = """
+closed AS (SELECT item_kind, a AS id, min(b) AS least_id FROM reach GROUP BY ALL),
+weighed AS (SELECT e.item_kind, e.a, e.b, x.n = y.n AND c.c = x.n AS same FROM edges e JOIN common c USING (item_kind, a, b) JOIN sizes x ON x.item_kind = e.item_kind AND x.id = e.a JOIN sizes y ON y.item_kind = e.item_kind AND y.id = e.b),
+first AS (SELECT item_kind, a AS id, min(b) AS twin FROM weighed WHERE same GROUP BY ALL),
+degree AS (SELECT w.item_kind, w.a AS id, count(DISTINCT least(w.b, coalesce(f.twin, w.b))) AS links FROM weighed w LEFT JOIN first f ON f.item_kind = w.item_kind AND f.id = w.b WHERE NOT same GROUP BY ALL)
+"""
 
 _CUT = r"""
 d AS (SELECT doc_id, source, text, trim(text, chars) AS body FROM documents, (SELECT list_reduce(list_transform([32, 9, 10, 13, 11, 12, 28, 29, 30, 31, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8203, 8232, 8233, 8239, 8287, 12288, 65279], lambda n: chr(n)), lambda a, b: a || b) AS chars)),
@@ -182,6 +189,7 @@ SQL: dict[str, str] = {
     "p1_found": f"WITH {_VECTORS}, near AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM v a JOIN v b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY array_inner_product(a.u, b.u) DESC, b.chunk_id) <= 5) SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM near",
     "p4_found": f"WITH {_PARTS} SELECT item_kind, item_id, CASE WHEN par <= 700 THEN 'paragraph' WHEN sent <= 700 THEN 'sentence' WHEN run <= 700 THEN 'word' ELSE 'none' END AS boundary FROM most JOIN most_s USING (item_kind, item_id) JOIN most_r USING (item_kind, item_id)",
     "p5_found": f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT item_kind, a AS id_a, b AS id_b FROM reach WHERE a < b",
+    "p5_groups": f"WITH RECURSIVE {_GROUPS}, {_LINKS} SELECT x.item_kind, x.id AS item_id, least(x.id, coalesce(g.least_id, x.id)) AS group_id, coalesce(l.links, 0) AS links FROM sizes x LEFT JOIN closed g USING (item_kind, id) LEFT JOIN degree l USING (item_kind, id)",
     "p8_found": f"WITH {_CUT} SELECT doc_id FROM cut WHERE cut",
     "p8_rates": f"WITH {_CUT}, j AS (SELECT source, coalesce(cut, false) AS cut FROM documents LEFT JOIN (SELECT doc_id, cut FROM cut) USING (doc_id)) SELECT source, count(*) AS texts, count(*) FILTER (cut) AS truncated, round(count(*) FILTER (cut) / count(*), 6) AS rate FROM j GROUP BY source",
     "p8_limits": f'WITH {_CUT} SELECT source, measure, n AS "limit", near AS texts, round(expected, 3) AS expected FROM lim WHERE near = most',
