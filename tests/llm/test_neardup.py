@@ -109,9 +109,9 @@ def test_pairs_of_large_buckets_in_blocks(spark, block):
     name = lambda i: bytes([i] * 16)
     stars = [(name(m[0]), name(b), big) for big, m in buckets.items() for b in m[1:]] + [(name(7), name(60), None)]
     far = {25}  # by its size near to none, by its distances too
-    slim = [(name(i), 1000 if i in far else 100, bytes([100 if i in far else 0] * 32)) for i in range(61)]
+    records = [(name(i), 1000 if i in far else 100, bytes([100 if i in far else 0] * 32)) for i in range(61)]
     df = spark.createDataFrame(stars, "a binary, b binary, big long")
-    s = spark.createDataFrame(slim, "fp binary, n int, pivots binary")
+    s = spark.createDataFrame(records, "fp binary, n int, pivots binary")
     all_pairs = {(a, b) for m in buckets.values() for a in m for b in m if a < b and not {a, b} & far}
     got = [(r.a[0], r.b[0]) for r in _large(df, s, None, 0.6, 4.5, block).collect()]
     assert sorted(got) == sorted(all_pairs)

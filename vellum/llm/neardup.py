@@ -224,13 +224,15 @@ def _members(ids: DataFrame, bits: int = 24):
     return run
 
 
-def _slim(records: DataFrame) -> DataFrame:
-    """``fp, n, pivots`` of each text; equal texts have equal columns."""
-    return records.groupBy("fp").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"))
+def _slim(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """``fp, n, pivots`` of the texts that may be among ``ids``, so that no others are moved; equal texts have equal columns."""
+    few = records.select("fp", "n", "pivots").mapInArrow(_members(ids), "fp binary, n int, pivots binary")
+    return few.groupBy("fp").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"))
 
 
-def _survivors(pairs: DataFrame, slim: DataFrame, threshold: float, sigmas: float) -> DataFrame:
+def _survivors(pairs: DataFrame, records: DataFrame, threshold: float, sigmas: float) -> DataFrame:
     """``a, b``: the pairs that pass sizes and pivots."""
+    slim = _slim(records, pairs.select(F.explode(F.array("a", "b")).alias("fp")))
     left = slim.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pivots").alias("pa"))
     right = slim.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pivots").alias("pb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_near(sigmas, threshold), "a binary, b binary")
@@ -283,7 +285,7 @@ def _met(threshold: float, sigmas: float, across: bool):
 _EMPTY_PAIRS = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
 
 
-def _large(pairs: DataFrame, slim: DataFrame, group: DataFrame | None, threshold: float, sigmas: float, block: int = BLOCK) -> DataFrame:
+def _large(pairs: DataFrame, records: DataFrame, group: DataFrame | None, threshold: float, sigmas: float, block: int = BLOCK) -> DataFrame:
     """``a < b``: pairs of members of the buckets named in ``big`` that pass sizes and pivots, each once.
 
     A bucket's members are dealt to blocks of about ``block``, and each two blocks meet under
@@ -293,7 +295,7 @@ def _large(pairs: DataFrame, slim: DataFrame, group: DataFrame | None, threshold
     """
     member = written(pairs.where("big is not null").select("big", F.explode(F.array("a", "b")).alias("fp")).distinct(), "near-large")
     shared = member.groupBy("fp").agg(F.collect_list("big").alias("bigs"))  # no more than the bands
-    dealt = member.join(shared, "fp").join(slim, "fp")
+    dealt = member.join(shared, "fp").join(_slim(records, member), "fp")
     if group is None:
         dealt = dealt.withColumns({"component": F.lit(None).cast("binary"), "main": F.lit(False)})
     else:
@@ -352,19 +354,18 @@ def near_duplicates(
     banded = records.select("kind", "fp", "runs").mapInArrow(_bands(bands, rows), "band long, fp binary")
     pairs = written(banded.repartition("band").sortWithinPartitions("band", "fp").mapInArrow(_pairs(small), "a binary, b binary, big long"), "near-pairs")
     large = pairs.where("big is not null").limit(1).count() > 0
-    slim = _slim(records)
     first = pairs.where("big is null") if large and count_links else pairs
-    near = _survivors(first.select("a", "b").distinct(), slim, threshold, sigmas)
+    near = _survivors(first.select("a", "b").distinct(), records, threshold, sigmas)
     if large and count_links:
-        near = near.unionByName(_large(pairs, slim, None, threshold, sigmas)).distinct()
+        near = near.unionByName(_large(pairs, records, None, threshold, sigmas)).distinct()
     links = written(_links(near, records, threshold), "near-links")
     if large and not count_links:
         # in large buckets, all pairs between records that are not yet in one group
-        across = _large(pairs, slim, connected_components(links), threshold, sigmas)
+        across = _large(pairs, records, connected_components(links), threshold, sigmas)
         links = written(links.unionByName(_links(across, records, threshold)).dropDuplicates(["a", "b"]), "near-links")
     group = connected_components(links)
     one = records.groupBy("kind", "id").agg(F.max("fp").alias("fp"))
-    grouped = one.join(group.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = written(one.join(group.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "near-grouped")
     least = grouped.groupBy("component").agg(F.min("id").alias("group_id"))
     named = grouped.join(least, "component").select("fp", "kind", "id", "group_id")
     if not count_links:
