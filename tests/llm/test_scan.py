@@ -142,3 +142,31 @@ def test_neighbours_across_line_ends_decide(spark):
         df = spark.createDataFrame([("e", 90, None, text, "")], PAGE)
         assert {r for r in rows(scan_faults(df, F.col("raw"), words)) if r[2] == "hyphen"} == {(90, 2, "hyphen", word)}
         assert f" {word} wave" in repaired_paragraphs(df, F.col("raw"), words).first().text.split("wave wave")[1]
+
+
+def test_every_word_meets_the_automaton():
+    v = Vocabulary({w: 1 for w in WORDS})
+    met, within = [], v.trie.within
+    v.trie.within = lambda f, k: met.append((f, k)) or within(f, k)
+    words = ("ce11", "interfäce", "gradlent", "xbk8", "tbe")
+    assert [v.misread(w) for w in words] == ["cell", "interface", "gradient", None, "the"]
+    assert [f for f, _ in met] == [fold(w) for w in words] and all(k for _, k in met)
+
+
+def test_neighbours_decide_between_unequal_strokes(spark):
+    words = spark.createDataFrame([("formation", 1), ("farmation", 9), ("the", 1), ("old", 1), ("wave", 1)], "word string, freq long")
+    page = "wave the formation wave old farmation wave.\nold wave the fxrmation wave old fxrmation\nwave the fxr-\nmation wave."
+    df = spark.createDataFrame([("e", 90, None, page, "")], PAGE)
+    assert rows(scan_faults(df, F.col("raw"), words)) == sorted([(90, 2, "misread", "formation"), (90, 2, "misread", "farmation"), (90, 3, "hyphen", "formation"), (90, 3, "misread", "formation")], key=repr)
+    assert repaired_paragraphs(df, F.col("raw"), words).first().text == "wave the formation wave old farmation wave. old wave the formation wave old farmation wave the formation wave."
+
+
+def test_neighbours_across_page_ends_decide(spark):
+    words = spark.createDataFrame([("lone", 1), ("rone", 9), ("the", 1), ("old", 1), ("wave", 1), ("flow", 1)], "word string, freq long")
+    # page 2 begins, and page 3 ends, with a word whose neighbour is on the other page; a word is cut after page 4; page 6 is the first of another document
+    texts = ["the lone flow wave old rone wave old\nwave wave the", "1one the\nwave wave", "wave flow\nwave 1one", "flow wave\nwave the 1o-", "ne the wave\nflow wave."]
+    pages = [("e", i + 1, None, t, "") for i, t in enumerate(texts)] + [("f", 6, None, "1one flow wave\nwave flow old.", "")]
+    df = spark.createDataFrame(pages, PAGE)
+    assert rows(scan_faults(df, F.col("raw"), words)) == sorted([(2, 1, "misread", "lone"), (3, 2, "misread", "lone"), (4, 2, "hyphen", "lone"), (4, 2, "misread", "lone"), (6, 1, "misread", "lone")], key=repr)
+    got = [r.text for r in repaired_paragraphs(df, F.col("raw"), words).orderBy("document_id").collect()]
+    assert got == ["the lone flow wave old rone wave old wave wave the lone the wave wave wave flow wave lone flow wave wave the lone the wave flow wave.", "lone flow wave wave flow old."]

@@ -53,16 +53,29 @@ class Trie:
     def within(self, pattern: str, k: int) -> list[tuple[int, str]]:
         """All (distance, word) with distance of at most ``k``, nearest first."""
         found, n, width = [], len(pattern), 2 * k + 1
+        moves: dict[tuple[State, int], dict[str, tuple[int, State] | None]] = {}  # of this pattern, as many nodes share them
         stack = [(self.root, 0, frozenset([(0, 0)]))]
         while stack:
             at, base, state = stack.pop()
-            for c, below in at.items():
-                if c == "":
-                    d = min(e + n - base - i for i, e in state)
-                    if d <= k:
-                        found.append((d, below))
+            if "" in at:
+                d = min(e + n - base - i for i, e in state)
+                if d <= k:
+                    found.append((d, at[""]))
+            read = moves.get((state, base))
+            if read is None:
+                read = moves[state, base] = {}
+                if all(e == k for _, e in state):  # only equal characters lead on
+                    read |= dict.fromkeys(pattern[base + i] for i, _ in state if base + i < n)
+                    for c in read:
+                        read[c] = step(state, tuple(p == c for p in pattern[base : base + width]), k)
+                    read[""] = None
+            for c in read if "" in read else at:
+                if c == "" or c not in at:
                     continue
-                moved = step(state, tuple(p == c for p in pattern[base : base + width]), k)
+                if c in read:
+                    moved = read[c]
+                else:
+                    moved = read[c] = step(state, tuple(p == c for p in pattern[base : base + width]), k)
                 if moved:
-                    stack.append((below, base + moved[0], moved[1]))
+                    stack.append((at[c], base + moved[0], moved[1]))
         return sorted(found)
